@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import canonical, encode, mixing
+from foliospark.llm import canonical, encode, mixing, mojibake
 from foliospark.session import table
 
 
@@ -19,6 +19,19 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.with_canonical(rows, "text").select("src", "row_id", "pos_a", "pos_b", "canonical").distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "page_inputs"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected pages with what could be restored, and whether the three quality ratios showed them."""
+    pages, quality = table(spark, sf_dir, "page_inputs"), table(spark, sf_dir, "quality_results")
+    done = mojibake.restore(pages).where("affected").select("page_input_id", "restored").distinct()
+    keys = pages.select("page_input_id", "document_id", "page_index").distinct()
+    shown = quality.groupBy("document_id", "page_index").agg(F.max((F.col("mixed_script_word_ratio") > 0) | (F.col("unexpected_script_ratio") > 0) | (F.col("replacement_ratio") > 0)).alias("shown"))
+    return done.join(keys, "page_input_id").join(shown, ["document_id", "page_index"], "left").select("page_input_id", "restored", "shown")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -41,5 +54,5 @@ def p7_budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(docs, targets, total_tokens=float(total or 0)).report()
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
 SQL: dict[str, str] = {}
