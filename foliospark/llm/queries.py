@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import canonical, encode, mixing, mojibake
+from foliospark.llm import canonical, encode, mixing, moderation, mojibake
 from foliospark.session import table
 
 
@@ -54,5 +54,18 @@ def p7_budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(docs, targets, total_tokens=float(total or 0)).report()
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("flagged").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged documents and rate per source."""
+    return moderation.rates(p8_scores(spark, sf_dir))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
 SQL: dict[str, str] = {}
