@@ -40,6 +40,8 @@ DIM, FILTERS, WIDTHS = 32, 40, (1, 2, 3, 4)
 LENGTH, OVERLAP, PARTS = 40, 8, 6
 EPOCHS, BATCH, RATE = 12, 128, 0.05
 SOUND_PER_EPOCH = 12_000  # sound passages drawn for each epoch, besides those the model finds hard
+SLIPS = 0.1  # share of flagged documents that training may leave out as reviewers' slips
+MIN_STEPS = 1200  # steps of gradient at least, however few documents there are
 DROP = 0.3  # share of words and of filters left out of each training step
 MIN_FLAGGED = 20  # held-out flagged documents a language needs for a threshold of its own
 CACHE = 200_000  # passages whose score a worker remembers
@@ -137,12 +139,12 @@ class Model:
         hidden = np.concatenate(h, 1)
         return hidden @ self.p["v"] + self.p["c"][0], (ids, x, hidden, keep)
 
-    def step(self, ids: np.ndarray, y: np.ndarray, r: np.random.Generator) -> None:
+    def step(self, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, r: np.random.Generator) -> None:
         _, (ids, x, hidden, keep) = self.forward(ids)
         mask = (r.random(hidden.shape) >= DROP).astype(np.float32) / (1 - DROP)
         hidden = hidden * mask
         logit = hidden @ self.p["v"] + self.p["c"][0]
-        d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight / len(y)).astype(np.float32)
         grad = {"v": hidden.T @ d + 1e-5 * self.p["v"], "c": d.sum(keepdims=True)}
         dh, dx = d[:, None] * self.p["v"][None] * mask, np.zeros_like(x)
         for i, w in enumerate(WIDTHS):
@@ -198,12 +200,15 @@ def train(docs: list[list[list[str]]], flagged: np.ndarray, seed: int = 7) -> Mo
     bad = [b for b, f in zip(bags, flagged) if f and b]
     worst = suspects(bags, rows, flagged)
     hard = np.zeros(0, int)
-    for epoch in range(EPOCHS):
-        if epoch and epoch % 3 == 0:
+    boost = float(np.clip(0.15 * min(len(sound), SOUND_PER_EPOCH) / max(1, len(worst)), 1, 10))
+    epochs = int(np.clip(MIN_STEPS * BATCH / max(1, min(len(sound), SOUND_PER_EPOCH)), EPOCHS, 4 * EPOCHS))
+    for epoch in range(epochs):
+        if epoch and epoch % max(3, epochs // 4) == 0:
             need = sorted({i for b in bad for i in b})
             s = dict(zip(need, model.scores(vec, [rows[i] for i in need])))
-            worst = [max(b, key=s.__getitem__) for b in bad]
-            worst = [i for i in worst if s[i] > 0.1]  # a flagged document without any bad passage is a slip
+            worst = sorted((max(b, key=s.__getitem__) for b in bad), key=s.__getitem__)
+            slips = int(SLIPS * len(worst))  # a flagged document without any bad passage is a reviewer's slip
+            worst = [i for i in worst[:slips] if s[i] > 0.1] + worst[slips:]
             p = model.scores(vec, [rows[i] for i in sound])
             hard = sound[(p > 0.1) & (p < 0.9)]
             sound = sound[p < 0.9]  # firmly contradicted: a bad passage in a document that passed as sound
@@ -217,7 +222,7 @@ def train(docs: list[list[list[str]]], flagged: np.ndarray, seed: int = 7) -> Mo
             part = order[at : at + BATCH]
             ids = vec.batch([rows[i] for i in idx[part]])
             ids[r.random(ids.shape[:2]) < DROP / 2] = 0
-            model.step(ids, y[part], r)
+            model.step(ids, y[part], np.where(y[part] > 0, boost, 1.0), r)
     return model
 
 
