@@ -397,7 +397,7 @@ def needle_recall(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("unbundle_id").agg(F.count("*").alias("n"), F.round(F.avg(F.contains("t", "s").cast("int")), 6).alias("recall"), F.every(F.contains("t", "s")).alias("perfect"))
 
 
-@query("""WITH u AS (SELECT DISTINCT unbundle_id, list_filter(must_contain, lambda x: x IS NOT NULL) AS m, docling.text AS t FROM ocr_unbundle WHERE must_contain IS NOT NULL AND docling.text IS NOT NULL), p AS (SELECT unbundle_id, list_filter(list_transform(m, s -> instr(t, s)), lambda i: i > 0) AS spots FROM u)
+@query("""WITH u AS (SELECT DISTINCT unbundle_id, list_filter(must_contain, lambda x: x IS NOT NULL) AS m, docling.text AS t FROM ocr_unbundle WHERE must_contain IS NOT NULL AND docling.text IS NOT NULL), p AS (SELECT unbundle_id, list_filter(list_transform(m, lambda s: instr(t, s)), lambda i: i > 0) AS spots FROM u)
 SELECT unbundle_id, len(spots) AS n_found, spots = list_sort(spots) AS in_order FROM p""")
 def needle_order(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "ocr_unbundle").where("must_contain is not null and docling.text is not null").select("unbundle_id", F.array_compact("must_contain").alias("m"), F.col("docling.text").alias("t")).distinct()
