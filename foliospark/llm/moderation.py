@@ -198,7 +198,13 @@ def train(docs: list[list[list[str]]], flagged: np.ndarray, seed: int = 7) -> Mo
     rows = [list(k) for k in number]
     sound = np.array(sorted({i for b, f in zip(bags, flagged) if not f for i in b}), int)
     bad = [b for b, f in zip(bags, flagged) if f and b]
-    worst = suspects(bags, rows, flagged)
+    n_sound, n_bad = np.zeros(len(rows)), np.zeros(len(rows))
+    for b, f in zip(bags, flagged):
+        (n_bad if f else n_sound)[list(set(b))] += 1
+    trusted = n_sound > np.maximum(1, n_bad)  # passages that sound documents share cannot be what flagged a document
+    bad = [[i for i in b if not trusted[i]] for b in bad]
+    bad = [b for b in bad if b]
+    worst = [i for i in suspects(bags, rows, flagged) if not trusted[i]]
     hard = np.zeros(0, int)
     boost = float(np.clip(0.15 * min(len(sound), SOUND_PER_EPOCH) / max(1, len(worst)), 1, 10))
     epochs = int(np.clip(MIN_STEPS * BATCH / max(1, min(len(sound), SOUND_PER_EPOCH)), EPOCHS, 4 * EPOCHS))
@@ -208,10 +214,11 @@ def train(docs: list[list[list[str]]], flagged: np.ndarray, seed: int = 7) -> Mo
             s = dict(zip(need, model.scores(vec, [rows[i] for i in need])))
             worst = sorted((max(b, key=s.__getitem__) for b in bad), key=s.__getitem__)
             slips = int(SLIPS * len(worst))  # a flagged document without any bad passage is a reviewer's slip
-            worst = [i for i in worst[:slips] if s[i] > 0.1] + worst[slips:]
+            worst = [i for i in worst[:slips] if s[i] > 0.9] + worst[slips:]
             p = model.scores(vec, [rows[i] for i in sound])
-            hard = sound[(p > 0.1) & (p < 0.9)]
-            sound = sound[p < 0.9]  # firmly contradicted: a bad passage in a document that passed as sound
+            slip = (p >= 0.9) & ~trusted[sound]  # firmly contradicted: a bad passage in a document that passed as sound
+            hard = sound[(p > 0.1) & ~slip]
+            sound = sound[~slip]
         drawn = r.choice(sound, min(len(sound), SOUND_PER_EPOCH), replace=False) if len(sound) else sound
         good = np.union1d(drawn, hard)
         idx = np.concatenate([np.array(worst, int), good])
@@ -226,13 +233,15 @@ def train(docs: list[list[list[str]]], flagged: np.ndarray, seed: int = 7) -> Mo
     return model
 
 
-def best_threshold(score: np.ndarray, truth: np.ndarray) -> float:
-    """The score that separates best by F1; halfway to the next lower score."""
-    order = np.argsort(-score)
+def best_threshold(score: np.ndarray, truth: np.ndarray, slack: float = 0.01) -> float:
+    """The score that separates best by F1; of cuts about as good, the middle of the widest gap between scores."""
+    order = np.argsort(-score, kind="stable")
     s, hit = score[order], truth[order].astype(float)
     f1 = 2 * hit.cumsum() / (np.arange(1, len(s) + 1) + max(1.0, hit.sum()))
-    k = int(f1.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+    below = np.append(s[1:], 0.0)
+    good = np.flatnonzero(f1 >= f1.max() - slack)
+    k = int(good[np.argmax((s - below)[good])])
+    return float((s[k] + below[k]) / 2)
 
 
 class Classifier:
@@ -247,6 +256,7 @@ class Classifier:
         if not labelled.flagged.any():
             return cls(None, 1.0, {})
         vec = Vectoriser()
+        labelled = labelled.iloc[np.argsort([zlib.crc32(f"order {t}".encode()) for t in labelled.text], kind="stable")]
         docs = [[w for p in passages(t) for w in vec.windows(words(p))] for t in labelled.text.fillna("")]
         y = labelled.flagged.to_numpy(bool)
         held = np.array([zlib.crc32(str(t).encode()) % 100 < 15 for t in labelled.text])
