@@ -38,6 +38,7 @@ RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 UTF8_RUN = re.compile(f"(?:{UTF8.pattern})+")
 _HIGH = re.compile("[^\x00-\x7f]+")
+_WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 _HANZI = re.compile("[㐀-鿿]")
 _MIXED = re.compile(r"(?:[A-Za-zÀ-ɏḀ-ỿ]+[Ѐ-ӿ]|[Ѐ-ӿ]+[A-Za-zÀ-ɏḀ-ỿ])[^\W\d_]*")
 _PAIR = re.compile("[^\x00-\x7f]{2}")
@@ -53,6 +54,7 @@ def to_bytes(codec: str) -> dict[int, str]:
 
     class Table(dict):
         def __missing__(self, cp: int) -> str:
+            self[cp] = "␀"  # at most one entry per character there is
             return "␀"
 
     table = Table({b: chr(b) for b in range(256)})
@@ -68,6 +70,15 @@ def to_bytes(codec: str) -> dict[int, str]:
     return table
 
 
+@functools.cache
+def _begins(codec: str) -> re.Pattern:
+    """A lead byte with a continuation byte, in the characters of an encoding: without any there is no span."""
+    table = to_bytes(codec)
+    of = lambda lo, hi: "[" + "".join(re.escape(chr(cp)) for cp, b in table.items() if len(b) == 1 and lo <= ord(b) <= hi) + "]"
+    return re.compile(of(0xC2, 0xF4) + of(0x80, 0xBF))
+
+
+@functools.cache
 def plausible(c: str) -> bool:
     """Whether a decoded character is one that texts hold."""
     cp = ord(c)
@@ -137,7 +148,10 @@ def _cyrillic(text: str) -> tuple[str, bool]:
     for line in text.split("\n"):
         high = [w for w in _WORD.findall(line) if not w.isascii()]
         best, score = line, russian(high) + 0.2
-        foreign = [w for w in high if all(ord(c) > 127 for c in w)]
+        if score > 0.75:  # sound Russian
+            lines.append(line)
+            continue
+        foreign = [w for w in high if all(127 < ord(c) < 0x530 or 0x2500 <= ord(c) < 0x25A1 for c in w)]
         if sum(map(len, foreign)) >= 6 and sum(map(len, foreign)) >= 0.6 * sum(map(len, high)):
             for seen in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1252", "latin_1", "mac_roman", "cp437"):
                 for meant in CYRILLIC:
@@ -190,7 +204,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
         return False, text
     affected, now = False, text
     for _ in range(ROUNDS if _PAIR.search(text) else 0):
-        options = [(*decode_spans(now, c), c) for c in SINGLE]
+        options = [(*decode_spans(now, c), c) for c in SINGLE if _begins(c).search(now)] or [(now, 0, [], "")]
         best = max(options, key=lambda o: o[1])
         if not best[1]:
             break
@@ -198,7 +212,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
         if not in_words:
             break
         affected, now = True, best[0]
-    for codec in DOUBLE:
+    for codec in DOUBLE if _WIDE.search(now) else ():
         fixed, spans = _double(now, codec)
         if spans:
             affected, now = True, fixed
