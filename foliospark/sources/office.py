@@ -16,7 +16,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,21 +180,23 @@ PARSERS = {"docx": docx, "xlsx": xlsx, "pptx": pptx}
 def read(spark: SparkSession, path: str, what: str = "elements") -> DataFrame:
     """Elements or cells of all office files below a path; a file that can't be read is one row with its error."""
     schema = ELEMENTS if what == "elements" else CELLS
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    arrow = pa.schema([(n, types[k]) for n, k in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for p, content in zip(pdf.path, pdf.content):
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    got = PARSERS[p.rpartition(".")[2].lower()](bytes(content))[what != "elements"]
+                    got = PARSERS[p.rpartition(".")[2].lower()](content)[what != "elements"]
                     rows += [{"path": p, **r} for r in got]
                 except Exception as e:  # noqa: BLE001 - whatever is wrong with one file must not stop the others
                     rows.append({"path": p, "error": str(e) if isinstance(e, UnsafeArchive) else type(e).__name__})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,xlsx,pptx,DOCX,XLSX,PPTX}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def tsv_words(spark: SparkSession, path: str) -> DataFrame:
