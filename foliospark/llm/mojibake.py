@@ -158,7 +158,7 @@ def _cyrillic(text: str) -> tuple[str, bool]:
                     if seen != meant:
                         new = _transcode(line, seen, meant)
                         got = [w for w in _WORD.findall(new) if "Ѐ" <= w[0] < "Ѡ"]
-                        if got and sum(map(len, got)) >= 0.7 * sum(map(len, foreign)) and (s := russian(got)) > max(score, 0.45):
+                        if got and sum(map(len, got)) >= 0.7 * sum(map(len, foreign)) and (s := russian(got) * min(1.0, sum(map(len, got)) / sum(map(len, foreign)))) > max(score, 0.45):
                             best, score = new, s
         changed |= best != line
         lines.append(best)
