@@ -7,7 +7,8 @@
    text line that ends in a dividing mark and its follower are two halves.
 2. `lexicon` counts the words of all pages. The most frequent ones, with their
    counts, and the frequent shapes of codes and numbers become a vocabulary
-   trie; its size is bounded by VOCABULARY.
+   trie; its size is bounded by VOCABULARY. The counts of all other words stay
+   a table, from which `with_counts` joins them to the words to be judged.
 3. `judge` decides each distinct word, or pair of halves, once: a bit-parallel
    Levenshtein automaton of the word runs through the trie and yields every
    vocabulary word within its distance. A word is misread if such a word is so
@@ -163,6 +164,20 @@ class Lexicon:
             self.alike.setdefault(blurred(w), []).append(w)
         self.before_hyphen = {w.split("-")[0] for w, n in counts.items() if "-" in w and not _DIGIT.search(w)}
         self.known: dict[tuple[str, bool], list[str]] = {}
+        self.others: dict[str, int] = {}  # counts of the words now judged that are not in the vocabulary
+
+    def own(self, word: str) -> int:
+        """How often the word occurs on all pages."""
+        return self.counts.get(word) or self.others.get(word, 0)
+
+    def others_in(self, a: str, b: str) -> list[str]:
+        """The words outside the vocabulary whose counts the judgement of a token (b = '') or of two halves needs; codes have none."""
+        if not b:
+            words = {core(NOISE.sub("", fold(a)))}
+        else:
+            x, y = core(NOISE.sub("", fold(a).rstrip()[:-1])), core(NOISE.sub("", fold(b)))
+            words = {x + y, f"{x}-{y}", y}
+        return sorted(w for w in words if w and w not in self.counts and not _DIGIT.search(w))
 
     def candidates(self, word: str, name: bool = False) -> list[str]:
         """Vocabulary words of which this word can only be a distortion, best first; none if it is sound.
@@ -175,7 +190,7 @@ class Lexicon:
         return got
 
     def _candidates(self, word: str, name: bool) -> list[str]:
-        own, n = self.counts.get(word, 0), len(word)
+        own, n = self.own(word), len(word)
         if not word or n > 40:
             return []
         if own >= max(20, SOUND * self.total):
@@ -247,7 +262,7 @@ class Lexicon:
         x, y = core(NOISE.sub("", first)), core(NOISE.sub("", second))
         whole, dashed = x + y, f"{x}-{y}"
         noisy = bool(NOISE.search(first)), bool(NOISE.search(second))
-        n_whole, n_dashed = self.counts.get(whole, 0), self.counts.get(dashed, 0)
+        n_whole, n_dashed = self.own(whole), self.own(dashed)
         if max(n_whole, n_dashed) > 0 and not (max(n_whole, n_dashed) < 3 and self.candidates(whole, first[:1].isupper())):
             return n_whole >= n_dashed, *noisy, whole if n_whole >= n_dashed else dashed
         to_whole = self.candidates(whole, first[:1].isupper()) if len(whole) > 3 else []
@@ -310,8 +325,8 @@ def _keys(words: DataFrame) -> DataFrame:
     return words.where("kind = 'body'").withColumn("a", a).withColumn("b", b)
 
 
-def lexicon(types: DataFrame) -> Lexicon:
-    """The lexicon of distinct words a (b = '') with their counts n; at most VOCABULARY words and as many shapes come to the driver."""
+def word_counts(types: DataFrame) -> DataFrame:
+    """word, shape, n, lower of the distinct words a (b = '') with their counts n, folded; a code has no word, other words no shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +339,11 @@ def lexicon(types: DataFrame) -> Lexicon:
                 lower.append(n if w[:1].islower() else 0)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(shapes, pa.string()), batch.column(1), pa.array(lower, pa.int64())], names=["word", "shape", "n", "lower"])
 
-    cores = types.where("b = ''").select("a", "n").mapInArrow(run, "word string, shape string, n bigint, lower bigint").groupBy("word", "shape").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"))
+    return types.where("b = ''").select("a", "n").mapInArrow(run, "word string, shape string, n bigint, lower bigint").groupBy("word", "shape").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"))
+
+
+def lexicon(cores: DataFrame) -> Lexicon:
+    """The lexicon of `word_counts`; at most VOCABULARY words and as many shapes come to the driver."""
     top = cores.orderBy(F.desc("n"), "word", "shape").limit(VOCABULARY).collect()
     total = sum(r.n for r in top) or 1
     words = [r for r in top if r.word and r.n >= RARE * total]
@@ -332,7 +351,25 @@ def lexicon(types: DataFrame) -> Lexicon:
     return Lexicon({r.word: r.n for r in words}, shapes, {r.word for r in words if r.lower < 0.3 * r.n})
 
 
-def judge(types: DataFrame, lex: Lexicon) -> DataFrame:
+def with_counts(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
+    """a, b of distinct words or pairs of halves, and others: the counts of the words in them that are not in the vocabulary."""
+    shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(*shared.value)
+        for batch in batches:
+            a, b = batch.column(0), batch.column(1)
+            asked = [own.others_in(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(asked, pa.list_(pa.string()))], names=["a", "b", "asked"])
+
+    asked = types.select("a", "b").mapInArrow(run, "a string, b string, asked array<string>").select("a", "b", F.explode_outer("asked").alias("word"))
+    counted = asked.join(cores.where("word <> ''").select("word", "n"), "word", "left")
+    # few bytes but much work a row: a fixed number of partitions isn't coalesced
+    counted = counted.repartition(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    return counted.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n")))).alias("others"))
+
+
+def judge(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
     """a, b, hyphen, wrong_a, wrong_b, better of each distinct word or pair of halves that shows noise."""
     shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names))
 
@@ -340,6 +377,8 @@ def judge(types: DataFrame, lex: Lexicon) -> DataFrame:
         own = Lexicon(*shared.value)
         for batch in batches:
             rows = []
+            own.known = {}
+            own.others = dict(pair for counts in batch.column(2).to_pylist() for pair in counts)
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if b:
                     hyphen, wa, wb, good = own.halves(fold(a).rstrip(), fold(b))
@@ -352,7 +391,7 @@ def judge(types: DataFrame, lex: Lexicon) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "hyphen", "wrong_a", "wrong_b", "better"])
 
-    return types.select("a", "b").mapInArrow(run, "a string, b string, hyphen boolean, wrong_a boolean, wrong_b boolean, better array<string>")
+    return with_counts(types, lex, cores).mapInArrow(run, "a string, b string, hyphen boolean, wrong_a boolean, wrong_b boolean, better array<string>")
 
 
 class Pages:
@@ -361,8 +400,9 @@ class Pages:
     def __init__(self, tokens: DataFrame):
         self.words = saved(layout(tokens), "words")
         types = saved(_keys(self.words).where("role < 2").groupBy("a", "b").agg(F.count("*").alias("n")), "types")
-        self.lexicon = lexicon(types)
-        self.judged = saved(judge(types, self.lexicon), "judged")
+        self.counts = saved(word_counts(types), "counts")
+        self.lexicon = lexicon(self.counts)
+        self.judged = saved(judge(types, self.lexicon, self.counts), "judged")
         # spellings that are sound and frequent: what joins afterwards is the rest
         bad = self.judged.where("b = ''").select("a")
         self.sound = types.where("b = ''").orderBy(F.desc("n"), "a").limit(SPELLINGS).join(bad, "a", "left_anti").select("a")
@@ -559,22 +599,35 @@ def header_wordings(words: DataFrame) -> frozenset[str]:
     return frozenset(f"{r.x} {r.y}" for r in top) | {"|"}
 
 
-def text_noise(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon, wordings: frozenset[str]) -> DataFrame:
-    """id, noise of the text lines of pages that come without boxes; one distinct row per noise present."""
+def text_noise(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon, wordings: frozenset[str], cores: DataFrame) -> DataFrame:
+    """id, noise of the text lines of pages that come without boxes; one distinct row per noise present.
+
+    What needs the count of a word outside the vocabulary is put off, and judged once per distinct word or pair of halves.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names, wordings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, shapes, names, known = shared.value
         own = Lexicon(counts, shapes, names)
         own.misread = functools.lru_cache(CACHE)(own.misread)
+        own.others_in = functools.lru_cache(CACHE)(own.others_in)
         for pdf in batches:
-            out = [(i, noise) for i, text in zip(pdf["id"], pdf["text"]) for noise in sorted(line_noise(text, own, known))]
-            yield pd.DataFrame(out, columns=["row_id", "noise"])
-
-    return texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "row_id bigint, noise string").distinct()
-
-
-def line_noise(text: str | None, lex: Lexicon, known: frozenset[str]) -> set[str]:
+            out = []
+            for i, text in zip(pdf["id"], pdf["text"]):
+                late: set[tuple[str, str]] = set()
+                noise = line_noise(text, own, known, late)
+                out += [(i, x, None, None) for x in sorted(noise)] + [(i, None, a, b) for a, b in sorted(late) if b or "misread" not in noise]
+            yield pd.DataFrame(out, columns=["row_id", "noise", "a", "b"])
+
+    rows = saved(texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "row_id bigint, noise string, a string, b string"), "lines")
+    late = rows.where("noise is null").select("row_id", "a", "b")
+    judged = judge(late.select("a", "b").distinct(), lex, cores)
+    kinds = F.array_compact(F.array(F.when(F.col("hyphen"), F.lit("hyphen")), F.when(F.col("wrong_a") | F.col("wrong_b"), F.lit("misread"))))
+    return rows.where("noise is not null").select("row_id", "noise").unionByName(late.join(judged, ["a", "b"]).select("row_id", F.explode(kinds).alias("noise"))).distinct()
+
+
+def line_noise(text: str | None, lex: Lexicon, known: frozenset[str], late: set[tuple[str, str]] | None = None) -> set[str]:
+    """The noise of a text; tokens and halves that need the count of a word outside the vocabulary go to `late`, if given."""
     if not text:
         return set()
     lines = text.split("\n")
@@ -590,9 +643,14 @@ def line_noise(text: str | None, lex: Lexicon, known: frozenset[str]) -> set[str
                 continue
             follower = body[n + 1][0] if n + 1 < len(body) and body[n + 1] else None
             if k == len(tokens) - 1 and follower and re.search(rf"[^\W_][{MARKS}]$", f):
-                hyphen, wrong_a, wrong_b, _ = lex.halves(f, fold(follower))
-                noise |= ({"hyphen"} if hyphen else set()) | ({"misread"} if wrong_a or wrong_b else set())
+                if late is not None and lex.others_in(raw, follower):
+                    late.add((raw, follower))
+                else:
+                    hyphen, wrong_a, wrong_b, _ = lex.halves(f, fold(follower))
+                    noise |= ({"hyphen"} if hyphen else set()) | ({"misread"} if wrong_a or wrong_b else set())
                 second = True
+            elif late is not None and lex.others_in(raw, ""):
+                late.add((raw, ""))
             elif lex.misread(f)[0]:
                 noise.add("misread")
     return noise

@@ -13,7 +13,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ocr.Pages(table(spark, sf_dir, "ocr_tokens"))
     tokens = pages.found().select(F.lit("ocr_tokens").alias("src"), F.col("token_id").alias("row_id"), "noise")
     texts = table(spark, sf_dir, "ocr_unbundle").select("unbundle_id", F.col("docling.text").alias("text"))
-    lines = ocr.text_noise(texts, "unbundle_id", "text", pages.lexicon, ocr.header_wordings(pages.words))
+    lines = ocr.text_noise(texts, "unbundle_id", "text", pages.lexicon, ocr.header_wordings(pages.words), pages.counts)
     return tokens.unionByName(lines.select(F.lit("ocr_unbundle").alias("src"), "row_id", "noise"))
 
 

@@ -81,3 +81,16 @@ def test_lines_without_boxes():
     assert O.line_noise(text, lex, known) == {"header", "page_number", "hyphen", "misread"}
     assert O.line_noise("the board closed.\n\n390\nthe off-site board closed", lex, known) == set()
     assert O.line_noise(None, lex, known) == O.line_noise("", lex, known) == set()
+
+
+def test_rare_word_below_the_vocabulary_keeps_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(O, "RARE", 0.01)  # as on large inputs, where counts below 4 or 40 are under the floor
+    lines = [(90.0, "the second inspection of the building was closed")] * 40 + [(90.0, "velmar and dolmar of the building")] * 30
+    rows = page("d", 0, lines + [(90.0, "dolmor was closed")] * 4 + [(90.0, "the velmar-")] + [(90.0, "dolmor inspection")])
+    pages = O.Pages(spark.createDataFrame(rows, SCHEMA))
+    assert "dolmor" not in pages.lexicon.counts and "dolmar" in pages.lexicon.counts
+    text = {r[0]: r[5] for r in rows}
+    assert "dolmor" not in {text[r.token_id] for r in pages.found().where("noise = 'misread'").collect()}
+    texts = spark.createDataFrame([(1, "the dolmor was closed"), (2, "the dolmcr was closed")], "id bigint, text string")
+    got = O.text_noise(texts, "id", "text", pages.lexicon, frozenset(), pages.counts).collect()
+    assert [(r.row_id, r.noise) for r in got] == [(2, "misread")]
