@@ -13,8 +13,9 @@
    Levenshtein automaton of the word runs through the trie and yields every
    vocabulary word within its distance. A word is misread if such a word is so
    much more frequent that the other can only be its distortion; among several
-   candidates the words before and after decide in `repaired`. Halves are judged
-   by the joined word against the hyphenated one.
+   candidates the words before and after decide in `paragraphs`, by the numbers of
+   all adjacent pairs. Halves are judged by the joined word against the
+   hyphenated one.
 4. The judgements join the tokens again; hot words, which are in the vocabulary
    and sound, are taken out before by a broadcast of the vocabulary's spellings.
 
@@ -42,7 +43,6 @@ from foliospark.session import saved
 VOCABULARY = 50_000  # words in the trie at most
 SPELLINGS = 50_000  # sound spellings broadcast at most
 CACHE = 100_000  # words whose judgement a worker remembers
-BIGRAMS = 100_000  # word pairs broadcast for the ranking at most
 RARE = 2e-6  # share of all words below which a word isn't in the vocabulary
 SOUND = 5e-4  # share of all words from which a word is sound whatever resembles it
 COMMON = 1.5e-4  # share from which a word is no rarity,
@@ -256,31 +256,31 @@ class Lexicon:
                     return new
         return None
 
-    def halves(self, a: str, b: str) -> tuple[bool, bool, bool, str]:
-        """Of two folded halves: is the mark no part of the word, is the first, is the second misread, and the word."""
+    def halves(self, a: str, b: str) -> tuple[bool, bool, bool, list[str]]:
+        """Of two folded halves: is the mark no part of the word, is the first, is the second misread, and the word or what it may be, best first."""
         first, second = a[:-1], b
         x, y = core(NOISE.sub("", first)), core(NOISE.sub("", second))
         whole, dashed = x + y, f"{x}-{y}"
         noisy = bool(NOISE.search(first)), bool(NOISE.search(second))
         n_whole, n_dashed = self.own(whole), self.own(dashed)
         if max(n_whole, n_dashed) > 0 and not (max(n_whole, n_dashed) < 3 and self.candidates(whole, first[:1].isupper())):
-            return n_whole >= n_dashed, *noisy, whole if n_whole >= n_dashed else dashed
+            return n_whole >= n_dashed, *noisy, [whole if n_whole >= n_dashed else dashed]
         to_whole = self.candidates(whole, first[:1].isupper()) if len(whole) > 3 else []
         to_dashed = [w for w in self.candidates(dashed) if "-" in w]
         if to_dashed and not any(len(w) >= len(whole) - 1 and "-" not in w for w in to_whole):
             good = to_dashed[0]
             head, _, tail = good.partition("-")
-            return False, noisy[0] or head != x, noisy[1] or tail != y, good
+            return False, noisy[0] or head != x, noisy[1] or tail != y, to_dashed
         to_whole = [w for w in to_whole if "-" not in w]
         if to_whole:
             good = to_whole[0]
             ok_a, ok_b = good.startswith(x), good.endswith(y)
             if ok_a and ok_b:
                 ok_b = False
-            return True, noisy[0] or not ok_a, noisy[1] or not ok_b, good
+            return True, noisy[0] or not ok_a, noisy[1] or not ok_b, to_whole
         alone = self.misread(second)[0] if y not in self.counts else False
         keeps = a[-1] in "-‐‑－" and (x in self.before_hyphen or bool(_DIGIT.search(x)) or x in self.counts and y in self.counts)
-        return not keeps, noisy[0], noisy[1] or alone, dashed if keeps else whole
+        return not keeps, noisy[0], noisy[1] or alone, [dashed if keeps else whole]
 
 
 def _combinations(spots: list[int], k: int) -> Iterator[tuple[int, ...]]:
@@ -382,7 +382,7 @@ def judge(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if b:
                     hyphen, wa, wb, good = own.halves(fold(a).rstrip(), fold(b))
-                    rows.append((a, b, hyphen, wa, wb, [good]))
+                    rows.append((a, b, hyphen, wa, wb, good))
                 else:
                     wrong, better = own.misread(fold(a))
                     if wrong:
@@ -428,18 +428,21 @@ class Pages:
         A new paragraph begins where the distance between lines is clearly
         larger than the page's usual one. A page has a bounded number of tokens.
         """
-        pairs = F.broadcast(self._bigrams())  # at most BIGRAMS rows
+        pairs = self._bigrams()
         fixes = self.noise().where("noise <> 'header' and noise <> 'page_number'").groupBy("token_id").agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
         page = ["document_id", "page_index", "source"]
         order = Window.partitionBy(*page).orderBy("at")
-        words = self.words.where("kind = 'body'").withColumn("before", F.lower(F.lag("text").over(order))).withColumn("after", F.lower(F.lead("text").over(order)))
+        # what stands before and after the word, of halves the joined one
+        before = F.when(F.col("role") == 2, F.lag("text", 2).over(order)).otherwise(F.lag("text").over(order))
+        after = F.when(F.col("role") == 1, F.lead("text", 2).over(order)).otherwise(F.lead("text").over(order))
+        words = self.words.where("kind = 'body'").withColumn("before", F.lower(before)).withColumn("after", F.lower(after))
         words = words.join(fixes, "token_id", "left")
-        wrong = words.where("wrong and role = 0").select("token_id", "before", "after", F.posexplode("better").alias("rank", "word"))
+        wrong = words.where("size(better) > 1").select("token_id", "before", "after", F.posexplode("better").alias("rank", "word"))
         left = wrong.join(pairs.select(F.col("x").alias("before"), F.col("y").alias("word"), F.col("n").alias("n1")), ["before", "word"], "left")
         both = left.join(pairs.select(F.col("x").alias("word"), F.col("y").alias("after"), F.col("n").alias("n2")), ["word", "after"], "left")
         best = F.max_by("word", F.struct(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)), -F.col("rank")))
         chosen = both.groupBy("token_id").agg(best.alias("chosen"))
-        parts = words.join(chosen, "token_id", "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.element_at("better", 1)).alias("chosen")).alias("w"))
+        parts = words.join(chosen, "token_id", "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
         pages = parts.groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("words"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -450,10 +453,10 @@ class Pages:
         return pages.mapInPandas(run, "document_id string, page_index int, source string, paragraph int, text string")
 
     def _bigrams(self) -> DataFrame:
-        """The most frequent pairs of adjacent words, lower case."""
+        """All pairs of adjacent words, lower case, with their number."""
         order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
         w = self.words.where("kind = 'body'").select(F.lower("text").alias("x"), F.lower(F.lead("text").over(order)).alias("y"))
-        return w.where("y is not null").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x", "y").limit(BIGRAMS)
+        return w.where("y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def recased(seen: str, good: str) -> str:
@@ -488,7 +491,7 @@ def reflow(words: list[dict]) -> list[str]:
             first = fold(open_half["text"]).strip()
             first = first[:-1] if open_half["hyphen"] else first
             tail = re.search(r"[\W_]*$", text).group()
-            good = open_half["chosen"]
+            good = open_half["chosen"] or w["chosen"]
             text = recased(first, good) + tail if good and core(first + text) != good and (open_half["wrong"] or w["wrong"]) else NOISE.sub("", first + text)
         elif w["wrong"] and w["chosen"]:
             text = recased(text, w["chosen"])

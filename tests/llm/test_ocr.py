@@ -94,3 +94,11 @@ def test_rare_word_below_the_vocabulary_keeps_its_own_count(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "the dolmor was closed"), (2, "the dolmcr was closed")], "id bigint, text string")
     got = O.text_noise(texts, "id", "text", pages.lexicon, frozenset(), pages.counts).collect()
     assert [(r.row_id, r.noise) for r in got] == [(2, "misread")]
+
+
+def test_all_pairs_rank_whole_and_divided_words(spark, monkeypatch):
+    monkeypatch.setattr(O, "BIGRAMS", 1, raising=False)
+    lines = ["the board was closed"] * 60 + ["a long beard grew here"] * 40 + ["one long bxard grew here", "one long bx-", "ard grew here"]
+    pages = O.Pages(spark.createDataFrame(page("d", 0, [(90.0, x) for x in lines]), SCHEMA))
+    got = " ".join(r.text for r in pages.paragraphs().orderBy("paragraph").collect())
+    assert got.endswith("a long beard grew here one long beard grew here one long beard grew here")
