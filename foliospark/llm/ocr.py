@@ -180,7 +180,7 @@ class Lexicon:
         return sorted(w for w in words if w and w not in self.counts and not _DIGIT.search(w))
 
     def candidates(self, word: str, name: bool = False) -> list[str]:
-        """Vocabulary words of which this word can only be a distortion, best first; none if it is sound.
+        """All vocabulary words of which this word can only be a distortion, most frequent first; none if it is sound.
 
         For a name, short names being alike, only words at distance 1 count.
         """
@@ -213,7 +213,7 @@ class Lexicon:
             if not near and n >= 10:
                 near = dict(self.trie.near(word, 3, least))
             near.pop(word, None)
-        return sorted(near, key=lambda w: (-near[w], w))[:5]
+        return sorted(near, key=lambda w: (-near[w], w))
 
     def misread(self, text: str) -> tuple[bool, list[str]]:
         """Whether a folded token is misread, and what it may be instead."""

@@ -102,3 +102,8 @@ def test_all_pairs_rank_whole_and_divided_words(spark, monkeypatch):
     pages = O.Pages(spark.createDataFrame(page("d", 0, [(90.0, x) for x in lines]), SCHEMA))
     got = " ".join(r.text for r in pages.paragraphs().orderBy("paragraph").collect())
     assert got.endswith("a long beard grew here one long beard grew here one long beard grew here")
+
+
+def test_no_candidate_is_left_out():
+    words = {w: 900 - 100 * n for n, w in enumerate(("bat", "cat", "hat", "mat", "rat", "sat", "vat"))}
+    assert O.Lexicon(words, set(), set()).misread("xat") == (True, list(words))
