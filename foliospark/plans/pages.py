@@ -64,6 +64,20 @@ def text_quality_by_source(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_chars") < 200).alias("n_short"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("alpha_ratio"), 6).alias("alpha_ratio"))
 
 
+@query()
+def text_quality_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    """text_quality_report of all documents, those without source too."""
+    q = quality.signals(table(spark, d, "documents").select("doc_id", "text").distinct(), normalise=False)
+    return q.select("doc_id", F.col("n_chars"), "n_alpha", "n_words", "n_replacement", F.round("alpha_ratio", 6).alias("alpha_ratio"), F.round("unexpected_script_ratio", 6).alias("unexpected_script_ratio"))
+
+
+@query()
+def text_quality_by_source_whole(spark: SparkSession, d: str) -> DataFrame:
+    """text_quality_by_source of all documents; no source is a group of its own."""
+    q = quality.signals(table(spark, d, "documents").select("doc_id", "source", "text").distinct(), normalise=False)
+    return q.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_chars") < 200).alias("n_short"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("alpha_ratio"), 6).alias("alpha_ratio"))
+
+
 @query()
 def text_quality_pages(spark: SparkSession, d: str) -> DataFrame:
     """All signals after normalisation, with reasons and verdict."""

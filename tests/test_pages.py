@@ -108,3 +108,11 @@ def test_geometry(spark):
     a, b = G.Box.of("a_"), G.Box.of("b_")
     r = df.select(G.iou(a, b).alias("iou"), G.containment(a, b).alias("c"), G.centre_in(a, b).alias("i"), G.y_overlap(a, b).alias("y"), G.polygon_box(G.polygon(a)).alias("p")).first()
     assert abs(r.iou - 1 / 7) < 1e-12 and r.c == 0.25 and r.i and r.y == 0.5 and tuple(r.p) == (0.0, 0.0, 2.0, 2.0)
+
+
+def test_quality_reports_of_all_documents(spark, tmp_path):
+    from foliospark.plans import pages as P
+
+    spark.createDataFrame([(1, "abc def", "web"), (2, "abc", None), (2, "abc", None)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in P.QUERIES["text_quality_report_whole"](spark, str(tmp_path)).collect()} == {1, 2}
+    assert {(r.source, r.n_docs) for r in P.QUERIES["text_quality_by_source_whole"](spark, str(tmp_path)).collect()} == {("web", 1), (None, 1)}
