@@ -1,8 +1,8 @@
 """Nested records to related flat tables, in one tagged pass.
 
 A depth-first visitor walks each record once and emits one row per node:
-its tag (page, element, table, cell, region), its own key, its parent's key,
-its position and its scalar attributes as JSON. Rows of all tags share one
+its tag (document, page, element, table, study_table, cell, region), its own key, its parent's key,
+its position and all its attributes but its children as JSON. Rows of all tags share one
 schema, so the pass is a single map without a shuffle; `write_tagged` stores
 it partitioned by tag, and `typed` gives a tag its columns.
 
@@ -29,13 +29,19 @@ from pyspark.sql import functions as F
 
 TAGGED = "tag string, src string, record_id bigint, parent_key string, child_key string, pos int, payload string"
 
+# What a node holds beside its children; objects as JSON, fields of other names in `rest` as JSON.
 SCHEMAS = {
-    "page": "width double, height double, dpi int, coordinate_unit string, n_regions int, tokens int, orphan_rate double, orphan_text string",
-    "element": "type string, text string, source_backend string, page_number int, parent_id string, bbox struct<x0:double,y0:double,x1:double,y1:double>",
-    "table": "n_rows int, n_cols int, source_backend string",
-    "cell": "row int, col int, row_span int, col_span int, text string, is_header boolean, bbox struct<x0:double,y0:double,x1:double,y1:double>",
-    "region": "label string, claimed int, bbox array<double>",
+    "document": "document_id string, schema_version string, metadata string, assets string, labels array<string>, language string, exact double, char_recall double, order_ok boolean, tables_expected int, tables_found int, missing_strings array<string>, written_at string, rest string",
+    "page": "index string, page_index int, width double, height double, page_size array<double>, dpi int, coordinate_unit string, notes array<string>, reading_order array<string>, n_regions int, n_tables int, tokens int, claims string, orphan_rate double, orphan_classes string, orphan_text string, rest string",
+    "element": "id string, type string, text string, source_backend string, page_number int, parent_id string, bbox struct<x0:double,y0:double,x1:double,y1:double>, extra string, rest string",
+    "table": "id string, n_rows int, n_cols int, source_backend string, rest string",
+    "study_table": "n_cells int, bbox array<double>, rest string",
+    "cell": "row int, col int, row_span int, col_span int, text string, is_header boolean, bbox struct<x0:double,y0:double,x1:double,y1:double>, rest string",
+    "region": "label string, claimed int, bbox array<double>, rest string",
 }
+_KNOWN = {tag: {c.split(" ")[0] for c in cols.split(", ")} - {"rest"} for tag, cols in SCHEMAS.items()}
+# Tags of the tables that are no children in the sense of `found`.
+OWN = ("document", "study_table")
 
 _ARROW = pa.schema([("tag", pa.string()), ("src", pa.string()), ("record_id", pa.int64()), ("parent_key", pa.string()), ("child_key", pa.string()), ("pos", pa.int32()), ("payload", pa.string())])
 
@@ -77,14 +83,22 @@ class Visitor:
         self.cols: dict[str, list] = {n: [] for n in _ARROW.names}
         self.record_id: int | None = None
 
-    def emit(self, tag: str, parent: str, key: str, pos: int, node: dict, nested: tuple[str, ...] = ()) -> None:
-        body = json.dumps({k: v for k, v in node.items() if k not in nested}, ensure_ascii=False, default=str) if self.with_payload else None
+    def emit(self, tag: str, parent: str | None, key: str, pos: int, node: dict, nested: tuple[str, ...] = ()) -> None:
+        body = None
+        if self.with_payload:
+            # a list of pairs is a map of Arrow
+            own = {k: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for k, v in node.items() if k not in nested}
+            rest = {k: v for k, v in own.items() if k not in _KNOWN[tag]}
+            own = {k: v for k, v in own.items() if k in _KNOWN[tag]} | ({"rest": rest} if rest else {})
+            body = json.dumps(own, ensure_ascii=False, default=str)
         for name, value in zip(_ARROW.names, (tag, self.src, self.record_id, parent, key, pos, body)):
             self.cols[name].append(value)
 
     def document(self, record_id: int, doc: dict) -> None:
         self.record_id = record_id
         doc_key = plain(doc.get("document_id")) or f"#{record_id}"
+        if self.with_payload:
+            self.emit("document", None, doc_key, 0, doc, ("pages",))
         for pos, under, page in children(doc.get("pages")):
             index = plain(page.get("index"))
             key = f"{doc_key}/{index if index is not None else plain(under) or pos}"
@@ -96,13 +110,19 @@ class Visitor:
                     for n, _, cell in children(item.get("cells")) if kind == "table" else ():
                         self.emit("cell", item_key, f"{item_key}/r{plain(cell.get('row'))}c{plain(cell.get('col'))}", n, cell)
 
-    def study(self, record_id: int, document_id: str | None, pages: list | None) -> None:
+    def study(self, record_id: int, document_id: str | None, pages: list | None, about: dict | None = None) -> None:
         self.record_id = record_id
         doc_key = plain(document_id) or f"#{record_id}"
+        if self.with_payload:
+            self.emit("document", None, doc_key, 0, {"document_id": document_id} | (about or {}))
         for pos, _, page in children(pages):
             index = plain(page.get("page_index"))
             key = f"{doc_key}/{index if index is not None else pos}"
-            self.emit("page", doc_key, key, pos, page, ("region_bboxes", "region_labels", "region_claimed"))
+            self.emit("page", doc_key, key, pos, page, ("region_bboxes", "region_labels", "region_claimed", "table_bboxes", "table_cells"))
+            if self.with_payload:
+                boxes, cells = page.get("table_bboxes") or [], page.get("table_cells") or []
+                for n in range(max(len(boxes), len(cells))):
+                    self.emit("study_table", key, f"{key}/table{n}", n, {"n_cells": cells[n] if n < len(cells) else None, "bbox": boxes[n] if n < len(boxes) else None})
             labels, claimed = page.get("region_labels") or [], page.get("region_claimed") or []
             for n, box in enumerate(page.get("region_bboxes") or []):
                 if box:
@@ -144,23 +164,25 @@ def emit_documents(df: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def emit_studies(df: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Tagged rows of case studies; df has study_id, document_id and pages, other columns are ignored."""
-    fields = ("page_index", "page_size", "n_regions", "tokens", "orphan_rate", "orphan_text", "region_labels", "region_claimed", "region_bboxes") if with_payload else ("page_index", "region_bboxes")
+    """Tagged rows of case studies; df has study_id, document_id and pages, with payload other columns become attributes of the document."""
+    more = [c for c in df.columns if c not in ("study_id", "document_id", "pages")] if with_payload else []
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = Visitor("case_studies", with_payload)
-            for sid, doc, pages in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                v.study(sid, doc, pages)
+            about = [dict(zip(more, x)) for x in zip(*(batch.column(3 + i).to_pylist() for i in range(len(more))))] or [{}] * batch.num_rows
+            for sid, doc, pages, own in zip(*(batch.column(i).to_pylist() for i in range(3)), about):
+                v.study(sid, doc, pages, own)
             yield v.batch()
 
-    page = lambda p: F.when(p.isNotNull(), F.struct(*(p[f].alias(f) for f in fields)))
-    return df.select("study_id", "document_id", F.transform("pages", page).alias("pages")).mapInArrow(visit, TAGGED)
+    page = lambda p: F.when(p.isNotNull(), F.struct(*(p[f].alias(f) for f in ("page_index", "region_bboxes"))))
+    pages = F.col("pages") if with_payload else F.transform("pages", page).alias("pages")
+    return df.select("study_id", "document_id", pages, *more).mapInArrow(visit, TAGGED)
 
 
 def found(tagged: DataFrame) -> DataFrame:
     """One distinct row per child with the link to its parent."""
-    return tagged.select("src", "record_id", F.col("tag").alias("kind"), "parent_key", "child_key").distinct()
+    return tagged.where(~F.col("tag").isin(*OWN)).select("src", "record_id", F.col("tag").alias("kind"), "parent_key", "child_key").distinct()
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,15 @@ def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("kind", "src").agg(F.count("*").alias("n_rows"), F.countDistinct("child_key").alias("n_children"), F.count_if(F.col("linked").isNull() & (F.col("kind") != "page")).alias("n_unlinked"))
+    return rows.groupBy("kind", "src").agg(F.count("*").alias("n_rows"), F.countDistinct("child_key").alias("n_children"), F.count_if(F.col("linked").isNull() & ~F.col("kind").isin("document", "page")).alias("n_unlinked"))
+
+
+def _flat(tag: str) -> Callable[[SparkSession, str], DataFrame]:
+    def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.typed(_tagged(spark, sf_dir, True), tag)
+
+    flat.__doc__ = f"The flat table of {tag}s with all its typed columns."
+    return flat
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +56,5 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(runs, *drift.projections(changes, drift.file_schemas(drift.flatten(runs))))
 
 
-QUERIES = {"p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p5_runs": p5_runs}
+QUERIES = {"p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p5_runs": p5_runs} | {f"p4_table_{tag}": _flat(tag) for tag in nested.SCHEMAS}
 SQL: dict[str, str] = {}

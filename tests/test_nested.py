@@ -44,3 +44,21 @@ def test_studies_and_typed_tables(spark, tmp_path):
     N.write_tagged(tagged, str(tmp_path / "t"))
     regions = N.typed(spark.read.parquet(str(tmp_path / "t")), "region").orderBy("pos").collect()
     assert [(r.label, r.bbox[0]) for r in regions] == [("a", 1.0), (None, 5.0)]
+
+
+def test_flat_tables_keep_every_field(spark, tmp_path):
+    from foliospark.plans import records as R
+
+    page = {"index": 0, "notes": ["n"], "reading_order": ["e"], "odd": 1, "elements": [{"id": "e", "extra": {"runs": [{"font": "f"}]}}]}
+    spark.createDataFrame([(1, doc([page], schema_version="2", metadata={"route": "r"}, assets={"img0": "a"}))], "record_id bigint, payload string").write.parquet(f"{tmp_path}/raw_documents.parquet")
+    schema = "study_id bigint, document_id string, language string, pages array<struct<page_index:int,page_size:array<double>,n_tables:int,table_bboxes:array<array<double>>,table_cells:array<int>,claims:map<string,bigint>,region_bboxes:array<array<double>>>>"
+    spark.createDataFrame([(2, "s", "en", [(0, [5.0, 6.0], 1, [[1.0, 2.0, 3.0, 4.0]], [7], {"x": 3}, None)])], schema).write.parquet(f"{tmp_path}/case_studies.parquet")
+    got = {tag: {r.src: r for r in R.QUERIES[f"p4_table_{tag}"](spark, str(tmp_path)).collect()} for tag in ("document", "page", "element", "study_table")}
+    d, p, e = (got[k]["raw_documents"] for k in ("document", "page", "element"))
+    assert (d.child_key, d.schema_version, json.loads(d.metadata), json.loads(d.assets)) == ("d", "2", {"route": "r"}, {"img0": "a"})
+    assert (p["index"], p.notes, p.reading_order, json.loads(p.rest)) == ("0", ["n"], ["e"], {"odd": 1})
+    assert json.loads(e.extra) == {"runs": [{"font": "f"}]}
+    d, p, t = (got[k]["case_studies"] for k in ("document", "page", "study_table"))
+    assert (d.language, p.page_size, p.n_tables, json.loads(p.claims)) == ("en", [5.0, 6.0], 1, {"x": 3})
+    assert (t.parent_key, t.n_cells, t.bbox) == ("s/0", 7, [1.0, 2.0, 3.0, 4.0])
+    assert {r.kind for r in R.QUERIES["p4_found"](spark, str(tmp_path)).collect()} == {"page", "element"}
