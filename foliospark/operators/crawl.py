@@ -36,7 +36,7 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int, page_limit: int |
     A page limit cuts a level in the order of addresses.
     """
     frontier = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    seen = frontier  # the union of all levels, each kept once
     for depth in range(1, max_depth + 1):
         nxt = frontier.join(edges, frontier.url == edges.src).select(edges.dst.alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(depth))
         if page_limit is not None:
@@ -45,23 +45,32 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int, page_limit: int |
         frontier = checkpoint(nxt)
         if frontier.isEmpty():
             break
-        seen = checkpoint(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
 def redirects(start: DataFrame, hops: DataFrame, most: int = 10) -> DataFrame:
-    """Follow redirects a bounded number of times: final address, hops and outcome (ok, loop, limit, downgrade)."""
-    now = start.select("url", F.col("url").alias("at"), F.array("url").alias("path"), F.lit("open").alias("state"))
+    """Follow redirects a bounded number of times: final address, hops and outcome (ok, loop, limit, downgrade).
+
+    Only open chains go into the next join, cut from their lineage; the loop
+    ends with the last of them.
+    """
     h = hops.select(F.col("src").alias("at"), "dst")
+    now = start.select("url", F.col("url").alias("at"), F.array("url").alias("path"))
+    done: DataFrame | None = None
     for _ in range(most + 1):
         j = now.join(h, "at", "left")
-        go = (F.col("state") == "open") & F.col("dst").isNotNull()
-        state = (
-            F.when(F.col("state") != "open", F.col("state")).when(F.col("dst").isNull(), "ok").when(F.array_contains("path", F.col("dst")), "loop")
-            .when(F.col("at").startswith("https:") & F.col("dst").startswith("http:"), "downgrade").when(F.size("path") > most, "limit").otherwise("open")
+        ends = (
+            F.when(F.col("dst").isNull(), "ok").when(F.array_contains("path", F.col("dst")), "loop")
+            .when(F.col("at").startswith("https:") & F.col("dst").startswith("http:"), "downgrade").when(F.size("path") > most, "limit")
         )
-        now = j.select("url", F.when(go & (state == "open"), F.col("dst")).otherwise(F.col("at")).alias("at"), F.when(go & (state == "open"), F.concat("path", F.array("dst"))).otherwise(F.col("path")).alias("path"), state.alias("state"))
-    return now.select("url", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), F.when(F.col("state") == "open", "limit").otherwise(F.col("state")).alias("outcome"))
+        j = checkpoint(j.withColumn("outcome", ends))
+        closed = j.where("outcome is not null").select("url", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), "outcome")
+        done = closed if done is None else done.unionByName(closed)
+        now = j.where("outcome is null").select("url", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        if now.isEmpty():
+            break
+    return done
 
 
 def publish(blobs: DataFrame, hash_col: str, order: str, cap: int | None = None) -> DataFrame:

@@ -6,35 +6,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(col: str, p: float) -> Column:
-    """v[ceil(p n)], counted from 1."""
-    return F.expr(f"percentile_disc({p}) within group (order by {col})")
+CUTS = 64  # parts of a group's value range; no task ranks more than one part
 
 
-def interpolated(col: str, p: float) -> Column:
-    return F.percentile(col, F.lit(p))
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
 
 
-def _ranked(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.where(F.col(col).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(col)) - 1).withColumn("_n", F.count("*").over(w))
+def _parted(counts: DataFrame, keys: list[str], value: str, cuts: DataFrame) -> DataFrame:
+    """Rows with the part of their group they fall in: odd parts hold one cut value only, even ones what lies between."""
+    j = counts.alias("c").join(cuts.alias("u"), _same("c", "u", keys)).select("c.*", "u._cuts")
+    v = F.col(value)
+    below = F.size(F.filter("_cuts", lambda c: c < v))
+    return j.withColumn("_p", 2 * below + F.array_contains("_cuts", v).cast("int")).drop("_cuts")
 
 
-def positional(df: DataFrame, keys: list[str], col: str, rules: dict[str, Column]) -> DataFrame:
-    """Values at positions of the sorted group, counted from 0; a rule is an expression of _n."""
-    return _ranked(df, keys, col).groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == r, F.col(col))).alias(n) for n, r in rules.items()))
+def _cuts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / CUTS) for i in range(1, CUTS))), F.lit(10 * CUTS))).alias("_cuts"))
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, rules: dict[str, Column]) -> DataFrame:
+    """Values at positions of the sorted group, counted from 0; a rule is an expression of its size _n. NULL values don't count.
+
+    No group is sorted as a whole. Equal values are counted first, on the map
+    side; approximate percentiles cut each group into parts; the parts' sizes
+    tell which hold a wanted position, and only these are ranked.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    parts = _parted(counts, keys, "_v", _cuts(counts, keys, "_v"))
+    sizes = parts.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    by = Window.partitionBy(*keys)  # at most 2 CUTS rows a group
+    sizes = sizes.withColumn("_n", F.sum("_s").over(by)).withColumn("_to", F.sum("_s").over(by.orderBy("_p")))
+    spots = F.array(*(F.struct(F.lit(name).alias("name"), rule.cast("long").alias("pos")) for name, rule in rules.items()))
+    sizes = sizes.withColumn("_spots", F.filter(spots, lambda x: (x["pos"] >= F.col("_to") - F.col("_s")) & (x["pos"] < F.col("_to"))))
+    wanted = sizes.where(F.size("_spots") > 0)
+    inside = parts.alias("a").join(wanted.alias("w"), _same("a", "w", [*keys, "_p"])).select("a.*", "w._to", "w._s", "w._spots")
+    end = F.col("_to") - F.col("_s") + F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    hits = inside.withColumn("_end", end).withColumn("_hit", F.explode("_spots")).where("_hit.pos >= _end - _c and _hit.pos < _end")
+    return hits.groupBy(*keys).agg(*(F.max(F.when(F.col("_hit.name") == name, F.col("_v"))).alias(name) for name in rules))
+
+
+def ranks(df: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
+    """Ordinal rank of each row in its group by value, then by a numeric tie column, from 1; no task ranks a whole group.
+
+    A part that holds a single value, however frequent, is cut again by the tie column.
+    """
+    rows = _parted(df, keys, value, _cuts(df, keys, value)).withColumnRenamed("_p", "_p1")
+    rows = _parted(rows, keys, tie, _cuts(df, keys, tie)).withColumn("_p2", F.when(F.col("_p1") % 2 == 1, F.col("_p")).otherwise(0)).drop("_p")
+    sizes = rows.groupBy(*keys, "_p1", "_p2").agg(F.count("*").alias("_s"))
+    before = sizes.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p1", "_p2")) - F.col("_s"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_p1", "_p2").orderBy(value, tie))
+    j = rows.withColumn("_r", local).alias("a").join(before.alias("b"), _same("a", "b", [*keys, "_p1", "_p2"]))
+    return j.select("a.*", (F.col("a._r") + F.col("b._before")).alias(name)).drop("_p1", "_p2", "_r")
+
+
+# Positions in a sorted group of _n values, counted from 0. The percentile rules are kept apart by name.
+def nearest_rank(p: float) -> Column:
+    return F.expr(f"greatest(0, ceil({p} * _n) - 1)")
 
 
 def upper_median() -> Column:
-    return F.expr("cast(floor(_n / 2) as int)")
+    return F.expr("floor(_n / 2)")
 
 
 def truncated(p: float) -> Column:
-    return F.expr(f"cast(least(_n - 1, floor({p} * _n)) as int)")
+    return F.expr(f"least(_n - 1, floor({p} * _n))")
 
 
 def floored(p: float) -> Column:
-    return F.expr(f"cast(floor({p} * (_n - 1)) as int)")
+    return F.expr(f"floor({p} * (_n - 1))")
+
+
+def interpolated(p: float) -> dict[str, Column]:
+    """The two positions around a percentile; `between` puts them together."""
+    return {"lo": F.expr(f"floor({p} * (_n - 1))"), "hi": F.expr(f"ceil({p} * (_n - 1))")}
+
+
+def between(lo: Column, hi: Column, n: Column, p: float) -> Column:
+    at = F.lit(p) * (n - 1)
+    return lo + (hi - lo) * (at - F.floor(at))
+
+
+def median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The exact median of each group, the mean of the middle two."""
+    m = order_statistics(df, keys, value, interpolated(0.5))
+    return m.select(*keys, ((F.col("lo") + F.col("hi")) / 2).alias(name))
 
 
 def prf(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,30 +113,55 @@ def field_outcomes(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFr
 
 
 def stage_profile(log: DataFrame, keys: list[str], ts: list[str], seconds: str, failed: Column) -> DataFrame:
-    """Cold (first) and warm runtimes per group, failures, and the share of all time."""
-    order = Window.partitionBy(*keys).orderBy(*ts)
-    r = log.withColumn("_n", F.row_number().over(order))
-    warm = F.when(F.col("_n") > 1, F.col(seconds))
-    g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"), F.max(F.when(F.col("_n") == 1, F.col(seconds))).alias("cold"), F.avg(warm).alias("warm_mean"), F.median(warm).alias("warm_median"), F.min(warm).alias("warm_min"), F.max(warm).alias("warm_max"), F.sum(seconds).alias("total"))
+    """Cold (first) and warm runtimes per group, failures, and the share of all time.
+
+    The first record is a minimum and the warm ones are all others; the whole
+    group is never brought together.
+    """
+    log = log.withColumn("_at", F.struct(*ts))
+    g = log.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(failed).alias("failures"), F.min("_at").alias("_first"), F.min_by(seconds, "_at").alias("cold"), F.sum(seconds).alias("total"))
+    warm = log.alias("l").join(g.select(*keys, "_first").alias("g"), _same("l", "g", keys)).where(F.col("l._at") != F.col("g._first")).select("l.*")
+    w = warm.groupBy(*keys).agg(F.avg(seconds).alias("warm_mean"), F.min(seconds).alias("warm_min"), F.max(seconds).alias("warm_max"))
+    m = median(warm, keys, seconds, "warm_median")
+    g = g.alias("g").join(w.alias("w"), _same("g", "w", keys), "left").select("g.*", "w.warm_mean", "w.warm_min", "w.warm_max")
+    g = g.alias("g").join(m.alias("m"), _same("g", "m", keys), "left").select("g.*", "m.warm_median").drop("_first")
     g = g.withColumn("share", F.col("total") / F.sum("total").over(Window.partitionBy()))  # over one row per group
     load = F.col("cold") - F.col("warm_mean")
     return g.withColumn("implied_load", F.when(load >= 0, load))
 
 
+def latency(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of stages: seconds of a first document (all cold) and of a later one (all warm), and their quotient."""
+    g = profile.groupBy(*keys).agg(F.sum("cold").alias("first_seconds"), F.sum(F.coalesce("warm_mean", "cold")).alias("later_seconds"), F.sum("implied_load").alias("load_seconds"))
+    return g.withColumn("slowdown", F.try_divide("first_seconds", "later_seconds"))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], tie: str) -> DataFrame:
     """1 - 6 sum d^2 / n(n^2-1) on ordinal ranks; NULL below three rows."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, tie))
-    g = df.withColumn("_d", rank(x) - rank(y)).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.pow("_d", F.lit(2))).alias("s"))
+    r = ranks(ranks(df, keys, x, tie, "_rx"), keys, y, tie, "_ry")
+    g = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.pow(F.col("_rx") - F.col("_ry"), F.lit(2))).alias("s"))
     return g.select(*keys, "n", F.when(F.col("n") >= 3, 1 - 6 * F.col("s") / (F.col("n") * (F.pow("n", F.lit(2)) - 1))).alias("rho"))
 
 
+def exact_mean(col: str) -> Column:
+    """A mean that does not depend on the order of its terms: they are summed as decimals."""
+    return F.sum(F.col(col).cast("decimal(28,10)")).cast("double") / F.count(col)
+
+
 def calibration(df: DataFrame, score: str, hit: str, bins: int = 5) -> DataFrame:
     """Rows, mean score and hit rate per band of the score; empty bands stay."""
     band = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    g = df.where(F.col(score).isNotNull()).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(hit).alias("hit_rate"))
+    g = df.where(F.col(score).isNotNull()).groupBy(band.alias("band")).agg(F.count("*").alias("n"), exact_mean(score).alias("mean_score"), exact_mean(hit).alias("hit_rate"))
     return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("band")).join(g, "band", "left").fillna(0, ["n"])
 
 
+def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """How many keys only one of two runs has, and whether there are none."""
+    j = a.select(*keys).distinct().withColumn("_a", F.lit(1)).join(b.select(*keys).distinct().withColumn("_b", F.lit(1)), keys, "full")
+    n = j.agg(F.count_if(F.col("_b").isNull()).alias("only_first"), F.count_if(F.col("_a").isNull()).alias("only_second"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("common"))
+    return n.withColumn("equal", (F.col("only_first") == 0) & (F.col("only_second") == 0))
+
+
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Delta per key that both runs have."""
     return a.select(*keys, F.col(value).alias("base")).join(b.select(*keys, F.col(value).alias("cand")), keys).withColumn("delta", F.col("cand") - F.col("base"))

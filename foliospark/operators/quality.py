@@ -61,6 +61,11 @@ def text_verdict(suspicious: Column, reasons: Column, n_chars: Column) -> Column
     return F.when(~nothing, F.when(suspicious, "suspicious").otherwise("trusted"))
 
 
+def measured_verdict(ratio: Column, trusted: float, invalid: float) -> Column:
+    """trusted from one bound, invalid up to another, suspicious between; nothing measured is trusted."""
+    return F.when(ratio.isNull() | (ratio >= trusted), "trusted").when(ratio <= invalid, "invalid").otherwise("suspicious")
+
+
 def table_verdict(confidence: Column) -> Column:
     return F.when(confidence.isNull() | (confidence >= 0.75), "trusted").when(confidence <= 0.3, "invalid").otherwise("suspicious")
 
@@ -72,19 +77,45 @@ def agreement_verdict(agreement: Column) -> Column:
 def route(kind: Column, text_page_ratio: Column, suspicious_ratio: Column) -> Column:
     """Which way a file goes, by its kind and the text profile of its pages."""
     return (
-        F.when(kind.isin("docx", "xlsx", "pptx"), "office").when(kind == "image", "image")
+        F.when(kind.isin("docx", "xlsx", "pptx"), "office").when(kind.startswith("image"), "image")
         .when((kind == "pdf") & (text_page_ratio < 0.6), "scanned_pdf").when((kind == "pdf") & (suspicious_ratio > 0.34), "scanned_pdf")
         .when(kind == "pdf", "digital_pdf").otherwise("unknown")
     )
 
 
+# First bytes of images in hexadecimal, members that tell office archives, old office
+# containers by extension, and kinds by extension where no byte tells.
+IMAGES = {"89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "474946383761": "gif", "474946383961": "gif", "49492A00": "tiff", "4D4D002A": "tiff", "424D": "bmp"}
+MEMBERS = {"word/document.xml": "docx", "xl/workbook.xml": "xlsx", "ppt/presentation.xml": "pptx"}
+LEGACY = {"doc": "doc_legacy", "xls": "xls_legacy", "ppt": "ppt_legacy"}
+BY_EXTENSION = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "bmp": "image/bmp"}
+
+
+def _chosen(pairs: list[tuple[Column, str]]) -> Column:
+    return F.coalesce(*(F.when(c, F.lit(v)) for c, v in pairs))
+
+
 def sniff(content: Column, path: Column) -> Column:
-    """Kind of a file by its first bytes, else its extension."""
+    """Kind and confidence of a file by its content; the extension only speaks where no byte does.
+
+    An archive is an office file if its directory, which stands uncompressed at
+    the end behind a mark, names the part that makes it one. An archive without
+    directory is broken.
+    """
     head = F.hex(F.substring(content, 1, 8))
     ext = F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))
-    magic = F.when(head.startswith("25504446"), "pdf").when(head.startswith("89504E47") | head.startswith("FFD8FF") | head.startswith("47494638") | head.startswith("49492A00") | head.startswith("4D4D002A") | head.startswith("424D"), "image")
-    office = ext.isin("docx", "xlsx", "pptx")
-    kind = magic.when(head.startswith("504B") & office, ext).when(head.startswith("504B"), "zip").when(head.startswith("D0CF11E0"), "ole")
-    kind = kind.when(office | (ext == "pdf"), ext).when(ext.isin("png", "jpg", "jpeg", "gif", "tif", "tiff", "bmp"), "image").otherwise("unknown")
-    certain = F.when(head.startswith("504B") & office | magic.isNotNull(), 1.0).when(head.startswith("504B") | head.startswith("D0CF11E0"), 0.5).when(kind != "unknown", 0.4).otherwise(0.0)
+    inside = lambda text: F.contains(content, F.lit(text))
+    image = _chosen([(head.startswith(h), f"image/{k}") for h, k in IMAGES.items()])
+    archive, whole = head.startswith("504B"), inside(b"PK\x05\x06")
+    office = _chosen([(inside(m.encode()), k) for m, k in MEMBERS.items()])
+    ole, named = head == "D0CF11E0A1B11AE1", _chosen([(ext == e, k) for e, k in BY_EXTENSION.items()])
+    kind = (
+        F.when(head.startswith("25504446"), "pdf").when(image.isNotNull(), image)
+        .when(archive, F.when(whole, F.coalesce(office, F.lit("zip_unknown"))).otherwise("unknown"))
+        .when(ole, F.coalesce(_chosen([(ext == e, k) for e, k in LEGACY.items()]), F.lit("ole_legacy"))).otherwise(F.coalesce(named, F.lit("unknown")))
+    )
+    certain = (
+        F.when(head.startswith("25504446") | image.isNotNull(), 1.0).when(archive, F.when(~whole, 0.0).when(office.isNotNull(), 1.0).otherwise(0.3))
+        .when(ole, 0.5).when(named.isNotNull(), 0.4).otherwise(0.0)
+    )
     return F.struct(kind.alias("kind"), certain.alias("confidence"))

@@ -32,21 +32,46 @@ def per_stratum(df: DataFrame, strata: list[str], key: Column, k: int, seed: str
     return df.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def marginal(counts: pd.DataFrame, labels: list[str], n: int, seed: str = "42") -> pd.DataFrame:
-    """n rows, one by one the one that serves the labels with the largest normalised deficit; hash rank breaks ties.
-
-    counts is a benchmark manifest: a table small by its nature, one row per sample.
-    """
-    todo = counts.copy()
+def marginal(candidates: pd.DataFrame, labels: list[str], n: int, wanted: dict[tuple[str, str], int], seed: str = "42") -> pd.DataFrame:
+    """n rows, one by one the one whose labels lack most of what is wanted of them, as a share; hash rank breaks ties."""
+    todo = candidates.copy()
     todo["_rank"] = [hashlib.sha256(f"{seed}:{k}".encode()).hexdigest() for k in todo["id"].astype(str)]
-    have = {(c, v): 0 for c in labels for v in todo[c]}
-    want = {(c, v): n * m / len(todo) for c in labels for v, m in todo[c].value_counts().items()}
+    have = dict.fromkeys(wanted, 0)
     picked = []
     for _ in range(min(n, len(todo))):
-        gain = todo[labels].apply(lambda r: sum(max(0.0, (want[c, r[c]] - have[c, r[c]]) / want[c, r[c]]) for c in labels), axis=1)
+        lack = {k: max(0, w - have[k]) / w for k, w in wanted.items()}
+        gain = sum(todo[c].map(lambda v, c=c: lack[c, v]) for c in labels)
         best = todo.loc[gain >= gain.max() - 1e-12].sort_values("_rank").index[0]
         picked.append(best)
         for c in labels:
             have[c, todo.at[best, c]] += 1
         todo = todo.drop(best)
-    return counts.loc[picked]
+    return candidates.loc[picked]
+
+
+def marginal_sample(df: DataFrame, labels: list[str], n: int, seed: str = "42") -> DataFrame:
+    """A sample of n rows whose labels are as frequent as in the whole table; df has id and the labels.
+
+    What is wanted of each label is counted over all rows. Rows of equal labels
+    differ in their hash rank only, so that of each combination of labels its n
+    first ranks are all that can be picked: these, at most n a combination, and
+    the counts of the labels meet in one task.
+    """
+    total = df.agg(F.count("*").alias("_all"))
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in labels))).alias("l")).groupBy("l.label", "l.value").agg(F.count("*").alias("m"))
+    goal = F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("m") / F.col("_all")).cast("int"))
+    wanted = each.join(F.broadcast(total)).select("label", "value", goal.alias("want"))  # total is one row
+    cand = per_stratum(df.select("id", *labels), labels, F.col("id").cast("string"), n, seed)
+    rows = cand.select(F.col("id"), *labels, F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("want"))
+    both = rows.unionByName(wanted, allowMissingColumns=True).withColumn("one", F.lit(1))
+    kinds = dict(df.dtypes)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        need = pdf[pdf.want.notna()]
+        goals = {(r.label, r.value): int(r.want) for r in need.itertuples()}
+        mine = pdf[pdf.want.isna()][["id", *labels]].reset_index(drop=True)
+        if kinds["id"] != "string":
+            mine = mine.astype({"id": "int64"})  # not a float for the rows without id
+        return marginal(mine, labels, n, goals, seed) if len(mine) else mine
+
+    return both.groupBy("one").applyInPandas(pick, ", ".join(f"{c} {kinds[c]}" for c in ("id", *labels)))

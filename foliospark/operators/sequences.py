@@ -14,12 +14,30 @@ from pyspark.sql import functions as F
 
 
 def row_bands(df: DataFrame, keys: list[str], tie: str, close: float = 4.0) -> DataFrame:
-    """Band number of each box: a box that starts below all boxes so far, and not close to the last, opens one."""
+    """Band number of each box: boxes by top and left join the band above if they overlap it or begin within `close` of its top.
+
+    A box that starts below all before it opens a segment: a window finds these.
+    Only boxes less than `close` high make a segment begin near the top of the
+    band above; so bands are runs of segments, folded in order of their tops,
+    a page having as many as it has lines. All of it stays in the JVM. Boxes
+    without coordinates have no band.
+    """
     order = Window.partitionBy(*keys).orderBy("y0", "x0", tie)
     reach = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.lag("y0").over(order)
-    opens = reach.isNull() | ((F.col("y0") >= reach) & (F.abs(F.col("y0") - above) > close))
-    return df.withColumn("_o", opens.cast("int")).withColumn("band", F.sum("_o").over(order) - 1).drop("_o")
+    boxed = df.where("x0 is not null and y0 is not null and y1 is not null")
+    opens = reach.isNull() | (F.col("y0") >= reach)
+    seg = boxed.withColumn("_seg", F.sum(opens.cast("int")).over(order))
+    tops = seg.groupBy(*keys, "_seg").agg(F.min("y0").alias("_top")).groupBy(*keys).agg(F.array_sort(F.collect_list("_top")).alias("_tops"))
+    fold = F.aggregate(
+        "_tops",
+        F.array().cast("array<double>"),
+        lambda bands, top: F.when((F.size(bands) == 0) | (top - F.try_element_at(bands, F.lit(-1)) > close), F.concat(bands, F.array(top))).otherwise(bands),
+    )
+    starts = tops.select(*(F.col(k).alias("_k" + str(i)) for i, k in enumerate(keys)), fold.alias("_starts"))
+    same = [F.col(k).eqNullSafe(F.col("_k" + str(i))) for i, k in enumerate(keys)]
+    top = F.min("y0").over(Window.partitionBy(*keys, "_seg"))
+    joined = seg.withColumn("_top", top).join(starts, same).withColumn("band", F.size(F.filter("_starts", lambda b: b <= F.col("_top"))) - 1)
+    return joined.drop("_seg", "_top", "_starts", *("_k" + str(i) for i in range(len(keys))))
 
 
 def gutter(df: DataFrame, keys: list[str], width: str, least: float = 0.06, full: float = 0.8) -> DataFrame:

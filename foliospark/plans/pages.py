@@ -50,30 +50,17 @@ len(list_filter(ws, lambda x: (CASE WHEN regexp_matches(x, '\\p{Latin}') THEN 1
 _L = "CASE WHEN n_alpha > 0 THEN round((n_alpha - n_latin) / n_alpha, 6) ELSE 0.0 END"
 
 
-@query(f"""WITH b AS (SELECT DISTINCT doc_id, source, coalesce(text, '') AS t FROM documents WHERE source IS NOT NULL), {_SIG}
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, source, coalesce(text, '') AS t FROM documents), {_SIG}
 SELECT doc_id, n_chars, n_alpha, n_words, n_replacement, CASE WHEN n_chars > 0 THEN round(n_alpha / n_chars, 6) ELSE 0.0 END AS alpha_ratio, {_L} AS unexpected_script_ratio FROM s""")
 def text_quality_report(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.signals(table(spark, d, "documents").where("source is not null").select("doc_id", "text").distinct(), normalise=False)
+    q = quality.signals(table(spark, d, "documents").select("doc_id", "text").distinct(), normalise=False)
     return q.select("doc_id", F.col("n_chars"), "n_alpha", "n_words", "n_replacement", F.round("alpha_ratio", 6).alias("alpha_ratio"), F.round("unexpected_script_ratio", 6).alias("unexpected_script_ratio"))
 
 
-@query(f"""WITH b AS (SELECT DISTINCT doc_id, source, coalesce(text, '') AS t FROM documents WHERE source IS NOT NULL), {_SIG}
+@query(f"""WITH b AS (SELECT DISTINCT doc_id, source, coalesce(text, '') AS t FROM documents), {_SIG}
 SELECT source, count(*) AS n_docs, sum(CASE WHEN n_chars < 200 THEN 1 ELSE 0 END) AS n_short, sum(n_chars) AS n_chars, round(avg(CASE WHEN n_chars > 0 THEN n_alpha / n_chars ELSE 0.0 END), 6) AS alpha_ratio FROM s GROUP BY source""")
 def text_quality_by_source(spark: SparkSession, d: str) -> DataFrame:
-    q = quality.signals(table(spark, d, "documents").where("source is not null").select("doc_id", "source", "text").distinct(), normalise=False)
-    return q.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_chars") < 200).alias("n_short"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("alpha_ratio"), 6).alias("alpha_ratio"))
-
-
-@query()
-def text_quality_report_whole(spark: SparkSession, d: str) -> DataFrame:
-    """text_quality_report of all documents, those without source too."""
-    q = quality.signals(table(spark, d, "documents").select("doc_id", "text").distinct(), normalise=False)
-    return q.select("doc_id", F.col("n_chars"), "n_alpha", "n_words", "n_replacement", F.round("alpha_ratio", 6).alias("alpha_ratio"), F.round("unexpected_script_ratio", 6).alias("unexpected_script_ratio"))
-
-
-@query()
-def text_quality_by_source_whole(spark: SparkSession, d: str) -> DataFrame:
-    """text_quality_by_source of all documents; no source is a group of its own."""
+    """No source is a group of its own."""
     q = quality.signals(table(spark, d, "documents").select("doc_id", "source", "text").distinct(), normalise=False)
     return q.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("n_chars") < 200).alias("n_short"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("alpha_ratio"), 6).alias("alpha_ratio"))
 
@@ -119,7 +106,10 @@ def reading_order_consistency(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, PAGE).select(*PAGE, T.order_consistency("docling", "easyocr").alias("order_share"), T.sequence_ratio(F.array_join("docling", " "), F.array_join("easyocr", " ")).alias("ratio"))
 
 
-@query()
+@query(f"""{_T}, p AS (SELECT d.text AS a, e.text AS b FROM d JOIN e USING (document_id, page_index, token_pos)),
+k AS (SELECT CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN 'identical' WHEN regexp_full_match(a, '\\s*') AND regexp_full_match(b, '\\s*') THEN 'whitespace' WHEN b = '' THEN 'deletion' WHEN a = '' THEN 'insertion' WHEN nfc_normalize(a) = nfc_normalize(b) THEN 'unicode_norm' WHEN lower(upper(a)) = lower(upper(b)) THEN 'case' WHEN lower(strip_accents(a)) = lower(strip_accents(b)) THEN 'diacritic'
+WHEN regexp_matches(a, '\\p{{Nd}}') AND NOT regexp_matches(a, '\\p{{L}}') AND regexp_matches(b, '\\p{{L}}') OR regexp_matches(b, '\\p{{Nd}}') AND NOT regexp_matches(b, '\\p{{L}}') AND regexp_matches(a, '\\p{{L}}') THEN 'digit_letter'
+WHEN NOT regexp_matches(a || b, '[\\p{{L}}\\p{{N}}\\s]') THEN 'punctuation' ELSE 'substitution' END AS kind FROM p) SELECT kind, count(*) AS n FROM k GROUP BY 1""")
 def edit_kinds(spark: SparkSession, d: str) -> DataFrame:
     """How the second reading's word differs, of tokens at the same place."""
     t = _tokens(spark, d)
@@ -240,8 +230,11 @@ def recovery_decisions(spark: SparkSession, d: str) -> DataFrame:
     return j.select(*PAGE, quality.agreement_verdict(F.col("ag")).alias("verdict"), evidence.scan_recovery(F.col("ag"), F.col("new"), F.col("old"), F.lit(False), fused).alias("decision"))
 
 
-@query(f"""{_T}, o AS (SELECT *, max(y1) OVER w AS reach, lag(y0) OVER (PARTITION BY document_id, page_index ORDER BY y0, x0, token_id) AS above FROM d WINDOW w AS (PARTITION BY document_id, page_index ORDER BY y0, x0, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT token_id, sum(CASE WHEN reach IS NULL OR (y0 >= reach AND abs(y0 - above) > 4.0) THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_index ORDER BY y0, x0, token_id) - 1 AS band FROM o""")
+@query(f"""{_T}, o AS (SELECT *, max(y1) OVER w AS reach FROM d WINDOW w AS (PARTITION BY document_id, page_index ORDER BY y0, x0, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, page_index ORDER BY y0, x0, token_id) AS seg FROM o), u AS (SELECT document_id, page_index, seg, min(y0) AS top FROM g GROUP BY 1, 2, 3),
+q AS (SELECT document_id, page_index, list(top ORDER BY top) AS tops FROM u GROUP BY 1, 2),
+f AS (SELECT document_id, page_index, list_reduce(list_transform(tops, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] > 4.0 THEN list_concat(acc, x) ELSE acc END) AS starts FROM q)
+SELECT g.token_id, CAST(len(list_filter(f.starts, lambda s: s <= u.top)) - 1 AS INT) AS band FROM g JOIN u USING (document_id, page_index, seg) JOIN f ON f.document_id = g.document_id AND f.page_index = g.page_index""")
 def row_bands(spark: SparkSession, d: str) -> DataFrame:
     return sequences.row_bands(_doc(_tokens(spark, d)), PAGE, "token_id").select("token_id", "band")
 

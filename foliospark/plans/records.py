@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import drift, nested
-from foliospark.session import checkpoint, shared_dir, table
+from foliospark.session import checkpoint, scratch, table
 
 
 def _tagged(spark: SparkSession, sf_dir: str, with_payload: bool) -> DataFrame:
@@ -23,18 +22,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the tagged pass once, reads each flat table back with its schema, and reports rows, distinct children and children without parent."""
-    path = f"{shared_dir(spark)}/p4-{uuid.uuid4().hex}"
+    path = scratch(spark, "p4")
     nested.write_tagged(_tagged(spark, sf_dir, True), path)
     tagged = spark.read.parquet(path)
-    parents = tagged.select("src", F.col("child_key").alias("parent_key")).distinct().withColumn("linked", F.lit(True))
+    # a document may recur under another record, whose pages are not this record's
+    parents = tagged.select("src", "record_id", F.col("child_key").alias("parent_key")).distinct().withColumn("linked", F.lit(True))
     parts = []
     for tag in nested.SCHEMAS:
-        flat = nested.typed(tagged, tag).select(F.lit(tag).alias("kind"), "src", "parent_key", "child_key")
-        parts.append(flat.join(parents, ["src", "parent_key"], "left"))
+        flat = nested.typed(tagged, tag).select(F.lit(tag).alias("kind"), "src", "record_id", "parent_key", "child_key")
+        parts.append(flat.join(parents, ["src", "record_id", "parent_key"], "left"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.groupBy("kind", "src").agg(F.count("*").alias("n_rows"), F.countDistinct("child_key").alias("n_children"), F.count_if(F.col("linked").isNull() & ~F.col("kind").isin("document", "page")).alias("n_unlinked"))
+    return rows.groupBy("kind", "src").agg(F.count("*").alias("n_rows"), F.countDistinct("record_id", "child_key").alias("n_children"), F.count_if(F.col("linked").isNull() & (F.col("kind") != "document")).alias("n_unlinked"))
 
 
 def _flat(tag: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +44,18 @@ def stage_profile(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(CASE WHEN i = CAST(ceil(0.95 * n) AS INT) - 1 THEN value END) AS p95_rank, max(CASE WHEN i = n // 2 THEN value END) AS upper_median, max(CASE WHEN i = least(n - 1, CAST(floor(0.9 * n) AS INT)) THEN value END) AS p90_truncated, max(CASE WHEN i = CAST(floor(0.95 * (n - 1)) AS INT) THEN value END) AS p95_floored, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(median(value), 6) AS median FROM v GROUP BY 1""")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("value is not null")
-    at = metrics.positional(e, ["event_type"], "value", {"upper_median": metrics.upper_median(), "p90_truncated": metrics.truncated(0.9), "p95_floored": metrics.floored(0.95)})
-    g = e.groupBy("event_type").agg(metrics.nearest_rank("value", 0.95).alias("p95_rank"), F.round(metrics.interpolated("value", 0.95), 6).alias("p95_linear"), F.round(F.median("value"), 6).alias("median"))
-    return g.join(at, "event_type")
+    e = table(spark, d, "events").select("event_type", "value").where("value is not null")
+    rules = {"p95_rank": metrics.nearest_rank(0.95), "upper_median": metrics.upper_median(), "p90_truncated": metrics.truncated(0.9), "p95_floored": metrics.floored(0.95)}
+    rules |= {f"{k}95": v for k, v in metrics.interpolated(0.95).items()} | {f"{k}50": v for k, v in metrics.interpolated(0.5).items()}
+    g = metrics.order_statistics(e, ["event_type"], "value", rules).join(e.groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
+    p95 = metrics.between(F.col("lo95"), F.col("hi95"), F.col("n"), 0.95)
+    return g.select("event_type", "p95_rank", "upper_median", "p90_truncated", "p95_floored", F.round(p95, 6).alias("p95_linear"), F.round((F.col("lo50") + F.col("hi50")) / 2, 6).alias("median"))
 
 
-@query("""WITH m AS (SELECT event_type, max(value) AS most, median(value) AS med, sum(value) AS s FROM events GROUP BY 1) SELECT e.event_type, count(*) AS n_slow FROM events e JOIN m USING (event_type) WHERE e.value > 3 * m.med AND e.value > 1 GROUP BY 1""")
+@query("""WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1) SELECT e.event_type, count(*) AS n_slow FROM events e JOIN m USING (event_type) WHERE e.value > 3 * m.med AND e.value > 1 GROUP BY 1""")
 def runtime_outliers(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    m = e.groupBy("event_type").agg(F.median("value").alias("med"))
+    e = table(spark, d, "events").select("event_type", "value")
+    m = metrics.median(e, ["event_type"], "value", "med")
     return e.join(m, "event_type").where((F.col("value") > 3 * F.col("med")) & (F.col("value") > 1)).groupBy("event_type").agg(F.count("*").alias("n_slow"))
 
 
@@ -91,10 +92,10 @@ def macro_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT DISTINCT study_id, char_recall, order_ok FROM case_studies WHERE char_recall IS NOT NULL), b AS (SELECT least(CAST(floor(char_recall * 5) AS INT), 4) AS band, char_recall, CASE WHEN order_ok IS NULL THEN NULL WHEN order_ok THEN 1.0 ELSE 0.0 END AS hit FROM c)
-SELECT CAST(r.band AS INT) AS band, count(b.band) AS n, round(avg(char_recall), 6) AS mean_score, round(avg(hit), 6) AS hit_rate FROM (SELECT unnest(range(5)) AS band) r LEFT JOIN b ON b.band = r.band GROUP BY 1""")
+SELECT CAST(r.band AS INT) AS band, count(b.band) AS n, CAST(sum(CAST(char_recall AS DECIMAL(28, 10))) AS DOUBLE) / count(char_recall) AS mean_score, CAST(sum(CAST(hit AS DECIMAL(28, 10))) AS DOUBLE) / count(hit) AS hit_rate FROM (SELECT unnest(range(5)) AS band) r LEFT JOIN b ON b.band = r.band GROUP BY 1""")
 def calibration_bands(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "case_studies").select("study_id", "char_recall", F.col("order_ok").cast("int").cast("double").alias("hit")).distinct()
-    return _rounded(metrics.calibration(c, "char_recall", "hit"), ["mean_score", "hit_rate"])
+    return metrics.calibration(c, "char_recall", "hit")
 
 
 @query("""WITH c AS (SELECT DISTINCT study_id, language, exact, char_recall FROM case_studies WHERE exact IS NOT NULL AND char_recall IS NOT NULL) SELECT language, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(exact, char_recall) END, 6) AS r FROM c GROUP BY 1""")
@@ -187,14 +188,14 @@ def artifact_listing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "run_files").select("record_id", "feed", "file_seq").distinct().orderBy("record_id").offset(100).limit(50)
 
 
-@query("""WITH n AS (SELECT p_partkey AS k, count(*) OVER () AS m FROM part), e AS (SELECT k AS src, (2 * k + 1) % m AS dst FROM n UNION ALL SELECT k, (2 * k + 2) % m FROM n),
-l0 AS (SELECT 1 AS url), l1 AS (SELECT DISTINCT dst AS url FROM e JOIN l0 ON src = url WHERE dst NOT IN (SELECT url FROM l0)), l2 AS (SELECT DISTINCT dst AS url FROM e JOIN l1 ON src = url WHERE dst NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1)), l3 AS (SELECT DISTINCT dst AS url FROM e JOIN l2 ON src = url WHERE dst NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1 UNION ALL SELECT url FROM l2))
-SELECT CAST(url AS BIGINT) AS url, 0 AS depth FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2 UNION ALL SELECT url, 3 FROM l3""")
+@query("""WITH RECURSIVE m AS (SELECT count(*) AS m FROM part), e AS (SELECT p_partkey AS src, (2 * p_partkey + 1) % (SELECT m FROM m) AS dst FROM part UNION ALL SELECT p_partkey, (2 * p_partkey + 2) % (SELECT m FROM m) FROM part),
+r AS (SELECT CAST(1 AS BIGINT) AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 20) SELECT url, min(depth) AS depth FROM r GROUP BY 1""")
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
+    """All parts within 20 links of the first."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    p = p.crossJoin(p.agg(F.count("*").alias("m")))  # one row
-    e = p.select(F.col("k").alias("src"), F.explode(F.array((2 * F.col("k") + 1) % F.col("m"), (2 * F.col("k") + 2) % F.col("m"))).alias("dst"))
-    return crawl.levels(spark.range(1, 2).select(F.col("id").alias("url")), e, 3)
+    m = p.agg(F.count("*").alias("m")).first().m  # one number
+    e = p.select(F.col("k").alias("src"), F.explode(F.array((2 * F.col("k") + 1) % m, (2 * F.col("k") + 2) % m)).alias("dst"))
+    return crawl.levels(spark.range(1, 2).select(F.col("id").alias("url")), e, 20)
 
 
 def _urls(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +221,11 @@ def scope_decisions(spark: SparkSession, d: str) -> DataFrame:
     return u.withColumn("decision", F.coalesce("error", rule)).groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT s_suppkey AS a FROM supplier), h AS (SELECT a, CASE WHEN a % 5 = 4 THEN a - 3 ELSE a + 1 END AS b FROM k WHERE a % 5 <> 0),
+r AS (SELECT a AS start, a AS here, [a] AS path, 'open' AS state FROM k UNION ALL
+SELECT r.start, CASE WHEN h.b IS NULL OR list_contains(r.path, h.b) OR len(r.path) > 10 THEN r.here ELSE h.b END, CASE WHEN h.b IS NULL OR list_contains(r.path, h.b) OR len(r.path) > 10 THEN r.path ELSE list_append(r.path, h.b) END,
+CASE WHEN h.b IS NULL THEN 'ok' WHEN list_contains(r.path, h.b) THEN 'loop' WHEN len(r.path) > 10 THEN 'limit' ELSE 'open' END FROM r LEFT JOIN h ON h.a = r.here WHERE r.state = 'open')
+SELECT 'https://e.org/' || CAST(start AS VARCHAR) AS url, 'https://e.org/' || CAST(here AS VARCHAR) AS final, CAST(len(path) - 1 AS INT) AS hops, state AS outcome FROM r WHERE state <> 'open'""")
 def redirect_chains(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "supplier").select("s_suppkey")
     hop = k.where(F.col("s_suppkey") % 5 != 0).select(F.concat(F.lit("https://e.org/"), "s_suppkey").alias("src"), F.concat(F.lit("https://e.org/"), F.when(F.col("s_suppkey") % 5 == 4, F.col("s_suppkey") - 3).otherwise(F.col("s_suppkey") + 1)).alias("dst"))
@@ -244,15 +249,9 @@ def hash_ranked_strata(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def marginal_strata(spark: SparkSession, d: str) -> DataFrame:
-    """A sample of 20 samples of the benchmark manifest, balanced over its labels; the manifest is read by one task."""
+    """A sample of 20 of the benchmark's cases, balanced over document types and languages."""
     h = table(spark, d, "hard_cases").select(F.col("hard_case_id").alias("id"), F.coalesce("document_type", F.lit("")).alias("document_type"), F.coalesce("language", F.lit("")).alias("language")).distinct()
-    # candidates: of each pair of labels the 20 lowest hash ranks, as no more can be picked
-    h = sampling.per_stratum(h, ["document_type", "language"], F.col("id").cast("string"), 20, "42")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return sampling.marginal(pdf.drop(columns="one"), ["document_type", "language"], 20)
-
-    return h.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(pick, "id bigint, document_type string, language string")
+    return sampling.marginal_sample(h, ["document_type", "language"], 20)
 
 
 @query("""SELECT event_type AS stage, count(*) AS n, count_if(event_type = 'error') AS failures, round(min(value / 100), 6) AS fastest, round(max(value / 100), 6) AS slowest FROM events GROUP BY 1""")
@@ -265,19 +264,22 @@ def _schema(spark: SparkSession, d: str) -> str:
     return table(spark, d, "events").schema.simpleString()[7:-1].replace(":", " ")
 
 
-@query("""SELECT DISTINCT user_id, event_type FROM events""")
+@query("""SELECT DISTINCT event_id, user_id, event_type FROM events""")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    e = logs.read(spark, d, glob="events.parquet", schema=_schema(spark, d)).select("user_id", "event_type")
-    return logs.drain(e.dropDuplicates(["user_id", "event_type"]))
+    """Every event is delivered twice; its key is kept for a day of event time."""
+    e = logs.read(spark, d, glob="events.parquet", schema=_schema(spark, d)).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return logs.drain(logs.distinct(e.unionByName(e), ["event_id"], "ts", "1 day").drop("ts"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per hour; a window is dropped from the state a day of event time after its end."""
     e = logs.read(spark, d, glob="events.parquet", schema=_schema(spark, d)).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return logs.drain(logs.windows(e, "ts", "1 hour", None, "1 day", ["event_type"]), "complete").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    s = logs.drain(logs.windows(e, "ts", "1 hour", None, "1 day", ["event_type"]), "update", ["window_start", "event_type"])
+    return s.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id, round(sum(value), 4) AS used, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT user_id, round(sum(value), 4) AS used, count(*) AS n, sum(value) > 1000.0 AS exceeded FROM events GROUP BY 1""")
 def stream_budget(spark: SparkSession, d: str) -> DataFrame:
     e = logs.read(spark, d, glob="events.parquet", schema=_schema(spark, d)).select("user_id", "value")
-    return logs.drain(logs.budget(e, "user_id", "value", 1000.0), "update").select("user_id", F.round("used", 4).alias("used"), "n")
+    return logs.drain(logs.budget(e, "user_id", "value", 1000.0), "update", ["user_id"]).select("user_id", F.round("used", 4).alias("used"), "n", "exceeded")

@@ -32,7 +32,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     """Supported files below a path with size, kind and hash, in order of their paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
-    return files.where(ext.isin(*EXTENSIONS)).select("path", "length", F.sha2("content", 256).alias("sha256"), sniff(F.col("content"), F.col("path")).alias("s")).select("path", "length", "sha256", "s.kind", "s.confidence")
+    return files.where(ext.isin(*EXTENSIONS)).select("path", "length", F.sha2("content", 256).alias("sha256"), sniff(F.col("content"), F.col("path")).alias("s")).select("path", "length", "sha256", "s.kind", "s.confidence").orderBy("path")
 
 
 class UnsafeArchive(ValueError):

@@ -6,15 +6,15 @@ the same definition runs on both; `drain` runs a stream to its end.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from foliospark.session import shared_dir
+from foliospark.session import scratch
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, glob: str | None = None) -> DataFrame:
@@ -28,19 +28,33 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | Non
     return r.load(path)
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its result as a table of the shared folder."""
+def drain(df: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and return its result as a table of the shared folder.
+
+    Every micro-batch is kept under its number, so that a batch run twice
+    replaces itself. In update mode the newest row of each key counts, in
+    complete mode the last batch.
+    """
     spark = df.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     if mode == "append":
         df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", base + "/state").trigger(availableNow=True).start(base + "/out").awaitTermination()
         return spark.read.schema(df.schema).parquet(base + "/out")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys whose newest rows count")
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/_batch_no={n}")
 
+    # written once before, so that a stream without data has an empty table
+    spark.createDataFrame([], df.schema).write.parquet(f"{base}/out/_batch_no=-1")
     df.writeStream.outputMode(mode).option("checkpointLocation", base + "/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(base + "/out")
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_batch_no", LongType())])).option("basePath", base + "/out").parquet(f"{base}/out/_batch_no=*")
+    if mode == "complete":
+        last = rows.agg(F.max("_batch_no").alias("_last"))
+        return rows.join(F.broadcast(last), F.col("_batch_no") == F.col("_last")).drop("_batch_no", "_last")  # one row
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), "_batch_no").alias("_v"))
+    return newest.select(*(c if c in keys else F.col(f"_v.{c}").alias(c) for c in df.columns))
 
 
 def profile(events: DataFrame) -> DataFrame:

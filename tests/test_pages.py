@@ -70,7 +70,13 @@ def test_text_columns(spark):
     r = df.select(T.jaccard(T.word_set(F.col("a")), T.word_set(F.col("b"))).alias("j"), T.slug(F.col("c")).alias("s"), T.csv_escape(F.lit(" =1+1")).alias("f")).collect()
     assert [x.j for x in r[:2]] == [1.0, 1.0] and [x.s for x in r] == ["K-to-n", "file", "file"] and r[0].f == "' =1+1"
     assert T.order_share(["a", "b", "c"], ["c", "a", "b"]) == 2 / 3
-    assert [T.edit_kind(*p) for p in (("a", "a"), ("a b", "ab"), ("a", ""), ("A", "a"), ("số", "so"), ("l", "1"), ("a.", "a"), ("x", "y"))] == ["identical", "whitespace", "deletion", "case", "diacritic", "digit_letter", "punctuation", "substitution"]
+
+
+def test_edit_kinds_take_the_first_rule_that_holds(spark):
+    pairs = [("a", "a"), (" ", "\t"), ("a b", "ab"), ("a", ""), ("", "a"), ("e\u0301", "\u00e9"), ("A", "a"), ("số", "so"), ("l", "1"), ("12", "1O2"), (".", ","), ("a.", "a"), ("x", "y"), (None, "x")]
+    want = ["identical", "whitespace", "substitution", "deletion", "insertion", "unicode_norm", "case", "diacritic", "digit_letter", "digit_letter", "punctuation", "substitution", "substitution", None]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.edit_kinds("a", "b").alias("k")).orderBy("i").collect()
+    assert [r.k for r in rows] == want
 
 
 def test_urls():

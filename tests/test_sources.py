@@ -30,7 +30,7 @@ def test_office_files(spark, tmp_path):
     c = {(r.path[-6:], r.row, r.col, r.row_span, r.col_span, r.text) for r in office.read(spark, str(tmp_path), "cells").where("error is null").collect()}
     assert c == {("a.docx", 0, 0, 1, 2, "a"), ("b.xlsx", 1, 1, 2, 2, "x")}
     kinds = {r.path[-6:]: (r.kind, r.confidence) for r in office.listing(spark, str(tmp_path)).collect()}
-    assert kinds["a.docx"] == ("docx", 1.0) and kinds["d.docx"] == ("docx", pytest.approx(0.4))
+    assert kinds["a.docx"] == ("docx", 1.0) and kinds["d.docx"] == ("docx", pytest.approx(0.4)) and list(kinds) == sorted(kinds)
 
 
 def test_model_sources_refuse():
