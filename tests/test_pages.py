@@ -120,5 +120,5 @@ def test_quality_reports_of_all_documents(spark, tmp_path):
     from foliospark.plans import pages as P
 
     spark.createDataFrame([(1, "abc def", "web"), (2, "abc", None), (2, "abc", None)], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id for r in P.QUERIES["text_quality_report_whole"](spark, str(tmp_path)).collect()} == {1, 2}
-    assert {(r.source, r.n_docs) for r in P.QUERIES["text_quality_by_source_whole"](spark, str(tmp_path)).collect()} == {("web", 1), (None, 1)}
+    assert {r.doc_id for r in P.QUERIES["text_quality_report"](spark, str(tmp_path)).collect()} == {1, 2}
+    assert {(r.source, r.n_docs) for r in P.QUERIES["text_quality_by_source"](spark, str(tmp_path)).collect()} == {("web", 1), (None, 1)}
