@@ -1,21 +1,23 @@
 """Text of scanned pages: finding its noise and repairing it into paragraphs.
 
 1. `layout` orders the tokens of a page into lines, by window functions over
-   the page, and marks furniture: lines at the top or bottom that start far
-   right of the text's margin. A furniture line of nothing but numbers, page
-   words and signs is a page number, any other a header. The last token of a
+   the page. `furniture_lines` finds running headers, footers and page numbers by
+   their recurrence over the pages of a document; how such lines look is counted
+   and decides the pages of documents too short for that. The last token of a
    text line that ends in a dividing mark and its follower are two halves.
-2. `lexicon` counts the words of all pages. The most frequent ones, with their
-   counts, and the frequent shapes of codes and numbers become a vocabulary
-   trie; its size is bounded by VOCABULARY. The counts of all other words stay
-   a table, from which `with_counts` joins them to the words to be judged.
+   `text_words` does the same for texts without boxes, from their lines.
+2. `lexicon` counts the words of all pages. Those that make up a share RARE of all
+   words, and the frequent shapes of codes and numbers, become a vocabulary trie;
+   the share bounds its size. The counts of all other words stay a table, from
+   which `with_counts` joins them to the words to be judged.
 3. `judge` decides each distinct word, or pair of halves, once: a bit-parallel
    Levenshtein automaton of the word runs through the trie and yields every
-   vocabulary word within its distance. A word is misread if such a word is so
-   much more frequent that the other can only be its distortion; among several
-   candidates the words before and after decide in `paragraphs`, by the numbers of
-   all adjacent pairs. Halves are judged by the joined word against the
-   hyphenated one.
+   vocabulary word within its distance: 1, and while no nearer word explains a
+   rare word, 2 from six letters (names nine) and 3 from ten on. A word is misread
+   if such a word is so much more frequent that the other can only be its
+   distortion; among several candidates the words before and after decide in
+   `paragraphs`, by the numbers of all adjacent pairs. Halves are judged by the
+   joined word against the hyphenated one.
 4. The judgements join the tokens again; hot words, which are in the vocabulary
    and sound, are taken out before by a broadcast of the vocabulary's spellings.
 
@@ -30,20 +32,20 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import canonical
 from foliospark.session import saved
 
-VOCABULARY = 50_000  # words in the trie at most
-SPELLINGS = 50_000  # sound spellings broadcast at most
-CACHE = 100_000  # words whose judgement a worker remembers
-RARE = 2e-6  # share of all words below which a word isn't in the vocabulary
+SPELLINGS = 50_000  # sound spellings broadcast at most; what isn't among them joins
+RARE = 2e-6  # share of all words from which a word is in the vocabulary: at most its inverse, 500,000 words, can be
 SOUND = 5e-4  # share of all words from which a word is sound whatever resembles it
 COMMON = 1.5e-4  # share from which a word is no rarity,
 COMMON_NAME = 2e-5  # and a name: a word that hardly occurs in lower case
@@ -51,7 +53,6 @@ RATIO = 8  # words so many times as frequent explain a rarity
 COMMON_RATIO = 40  # and a word that is no rarity
 FAR_RATIO = 20  # and a rarity at distance 2 or more
 SHAPE = 2e-4  # share of all words from which the shape of a code is an established one
-OFFSET = 150.0  # how far right of the margin furniture starts, in pixels of the page
 
 MARKS = "-¬–=‐‑－"
 NOISE = re.compile(r"[\^~_|]")
@@ -63,7 +64,6 @@ CONFUSED = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("l
 _TO_DIGIT = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "!": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "G": "6", "B": "8", "g": "9", "q": "9"})
 # Characters that look alike out of focus (fixed values): each group reads as its first.
 _BLUR = str.maketrans({c: g[0] for g in ("oc0eađdơ@", "tfl1i!jI|", "hbk", "vyg9q", "nru", "s5", "z2", "6b") for c in g[1:] if not (g[0] == "6")})
-PAGE_WORDS = ("page", "of", "trang", "trên")
 
 
 @functools.cache
@@ -150,15 +150,35 @@ class Trie:
         return found
 
 
+_SIGN = re.compile(r"[^\w!]|_")
+_AS_DIGITS = "".join(sorted({chr(c) for c in _TO_DIGIT}))
+
+
+def _signs(code: str) -> str:
+    """The signs of a code or a shape, which no letter is taken for."""
+    return "".join(_SIGN.findall(code))
+
+
+@functools.cache
+def _overlay(shape_: str) -> re.Pattern:
+    """A pattern of what a shape looks like where letters stand for digits; every second group is a run of digits."""
+    parts = re.split("(9)", shape_)
+    letters = lambda part: "".join({"A": r"[^\W\d_]", "a": r"[^\W\d_]"}.get(c, re.escape(c)) for c in part)
+    return re.compile("".join(f"([0-9{_AS_DIGITS}]+)" if n % 2 else f"({letters(x)})" for n, x in enumerate(parts)))
+
+
 class Lexicon:
-    """The vocabulary, established shapes and hyphenated words of a corpus; at most VOCABULARY words."""
+    """The vocabulary, established shapes and hyphenated words of a corpus."""
 
-    def __init__(self, counts: dict[str, int], shapes: set[str], names: set[str]):
+    def __init__(self, counts: dict[str, int], shapes: set[str], names: set[str], total: int | None = None):
         self.counts, self.shapes, self.names = counts, shapes, names
+        self.by_signs: dict[str, list[str]] = {}
+        for x in sorted(shapes):
+            self.by_signs.setdefault(_signs(x), []).append(x)
         self.trie = Trie()
         for w, n in counts.items():
             self.trie.add(w, n)
-        self.total = sum(counts.values()) or 1
+        self.total = total or sum(counts.values()) or 1
         self.alike: dict[str, list[str]] = {}
         for w in counts:
             self.alike.setdefault(blurred(w), []).append(w)
@@ -191,7 +211,7 @@ class Lexicon:
 
     def _candidates(self, word: str, name: bool) -> list[str]:
         own, n = self.own(word), len(word)
-        if not word or n > 40:
+        if not word:
             return []
         if own >= max(20, SOUND * self.total):
             return []
@@ -243,18 +263,21 @@ class Lexicon:
         return noisy or bool(got), got
 
     def code(self, bare: str) -> str | None:
-        """A code or number of an established shape that this one shows with letters for digits."""
-        if shape(bare) in self.shapes or not re.search(r"\d", bare.translate(_TO_DIGIT)):
-            return None
-        spots = [i for i, c in enumerate(bare) if c.translate(_TO_DIGIT) != c]
-        if not spots or len(spots) > 12:
+        """A code or number of an established shape that this one shows with letters for digits; the one with fewest changes.
+
+        A shape is laid over the whole code, however many letters it has: runs
+        of digits are matched by characters that look like digits.
+        """
+        if shape(bare) in self.shapes or not _DIGIT.search(bare):
             return None
-        for k in range(1, min(3, len(spots)) + 1):
-            for pick in _combinations(spots, k):
-                new = "".join(c.translate(_TO_DIGIT) if i in pick else c for i, c in enumerate(bare))
-                if _DIGIT.search(bare) and shape(new) in self.shapes:
-                    return new
-        return None
+        fits = []
+        for s in self.by_signs.get(_signs(bare), ()):
+            m = _overlay(s).fullmatch(bare)
+            if m:
+                new = "".join(g.translate(_TO_DIGIT) if n % 2 else g for n, g in enumerate(m.groups()))
+                if new != bare and shape(new) == s:
+                    fits.append((sum(x != y for x, y in zip(new, bare)), new))
+        return min(fits)[1] if fits else None
 
     def halves(self, a: str, b: str) -> tuple[bool, bool, bool, list[str]]:
         """Of two folded halves: is the mark no part of the word, is the first, is the second misread, and the word or what it may be, best first."""
@@ -283,14 +306,30 @@ class Lexicon:
         return not keeps, noisy[0], noisy[1] or alone, [dashed if keeps else whole]
 
 
-def _combinations(spots: list[int], k: int) -> Iterator[tuple[int, ...]]:
-    import itertools
+def _plainer() -> tuple[str, str]:
+    """Characters and what they look like out of focus, for translate: accented Latin, wide and look-alike letters, by rule."""
+    plain, like = _fold_tables()
+    cps = [*range(0x21, 0x250), *range(0x1E00, 0x1F00), *(ord(c) for c in plain if len(c) == 1 and c < "\U00010000"), *(ord(c) for c in like)]
+    seen, out = [], []
+    for c in dict.fromkeys(chr(cp) for cp in cps):
+        flat = blurred(fold_char(c, plain, like).lower())
+        if len(flat) == 1 and flat != c and c.lower() == c:
+            seen.append(c)
+            out.append(flat)
+    return "".join(seen), "".join(out)
 
-    return itertools.combinations(spots, k)
 
+def fold_char(c: str, plain: dict[str, str], like: dict[str, str]) -> str:
+    c = plain.get(c, c)
+    return like.get(c, c)
 
-def layout(tokens: DataFrame) -> DataFrame:
-    """Per distinct token: kind (body, header, page_number), line, role 0 whole, 1 first half, 2 second half, and its mate."""
+
+EDGE = 3  # lines at either end of a page whose beginnings and ends are compared; whole lines may recur anywhere
+_DIGITS = ("oilzsbgq", "01125699")
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """Per distinct token: its number on the page, its line, where the line begins, and how many lines there are."""
     page = ["document_id", "page_index", "source"]
     by_page = Window.partitionBy(*page)
     order = by_page.orderBy("token_pos", "token_id")
@@ -301,17 +340,99 @@ def layout(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("new", (F.col("at") == 1) | F.coalesce(step, F.lit(False)))
     t = t.withColumn("line", F.sum(F.col("new").cast("int")).over(order)).withColumn("line_x", F.last(F.when(F.col("new"), F.col("x0")), True).over(order))
     t = t.withColumn("lines", F.max("line").over(by_page)).withColumn("left", F.min("x0").over(by_page))
-    t = t.withColumn("furniture", F.coalesce((F.col("line_x") > F.col("left") + OFFSET) & ((F.col("line") <= 2) | (F.col("line") >= F.col("lines") - 1)), F.lit(False)))
-    # far fewer than all tokens: their line decides whether they are a number
-    by_line = Window.partitionBy(*page, "line")
-    bare = F.lower(F.regexp_replace("text", "[\\p{Cf}\\p{P}\\p{S}]", ""))
-    numberish = bare.rlike("^[0-9oilzsbgq]{0,4}$|^[ivxl]+$")
-    for w in PAGE_WORDS:
-        numberish = numberish | (F.levenshtein(bare, F.lit(w)) <= (1 if len(w) < 4 else 2))
-    t = t.withColumn("numbers", F.when(F.col("furniture"), F.min(F.when(F.col("furniture"), numberish)).over(by_line) & (F.count(F.lit(1)).over(by_line) <= 6)))
-    kind = F.when(~F.col("furniture"), "body").when(F.col("numbers"), "page_number").otherwise("header")
-    t = t.withColumn("kind", kind).withColumn("clean", F.regexp_replace("text", "\\p{Cf}", ""))
-    t = t.withColumn("after", F.lead("text").over(order)).withColumn("after_new", F.lead("new").over(order)).withColumn("after_kind", F.lead("kind").over(order))
+    return t.select("token_id", *page, "at", "line", "lines", "line_x", "left", "y0", "y1", "text")
+
+
+def page_lines(tokens: DataFrame) -> DataFrame:
+    """Per line of `placed`: its words out of focus, its pattern (numbers as #), its number, its place and how far it is shifted."""
+    seen, flat = _plainer()
+    low = F.lower(F.regexp_replace("text", "[\\p{Cf}\\p{M}]", ""))
+    bare = F.regexp_replace(low, "[\\p{P}\\p{S}]", "")
+    strict, loose = bare.rlike("^[0-9]{1,4}$|^(?=.*[0-9])[0-9oilzsbgq]{1,4}$"), bare.rlike("^[oilzsbgq]{1,3}$|^[ivxl]+$")
+    bone = F.regexp_replace(F.translate(low, seen, flat), "[^\\p{L}]", "")
+    value = F.when(strict, F.translate(bare, *_DIGITS).try_cast("int"))
+    t = tokens.withColumn("w", F.struct("at", bone.alias("bone"), strict.alias("strict"), loose.alias("loose"), value.alias("value")))
+    lines = t.groupBy("document_id", "page_index", "source", "line").agg(
+        F.array_sort(F.collect_list("w")).alias("ws"), F.max("lines").alias("lines"), F.max("line_x").alias("line_x"), F.max("left").alias("left"), F.percentile_approx(F.col("y1") - F.col("y0"), 0.5).alias("height")
+    )
+    part = lambda w: F.when(w["strict"] | (w["loose"] & (F.size("ws") <= 3)), "#").otherwise(w["bone"])
+    bones = F.filter(F.transform("ws", part), lambda b: (b != "#") & (b != ""))
+    lines = lines.withColumn("pattern", F.array_join(F.transform("ws", part), "")).withColumn("bones", bones).withColumn("value", F.try_element_at(F.array_compact(F.transform("ws", lambda w: w["value"])), F.lit(1)))
+    below = F.col("lines") - F.col("line") + 1
+    lines = lines.withColumn("side", F.when((F.col("line") <= EDGE) & (F.col("line") <= below), "top").when(below <= EDGE, "bottom")).withColumn("rank", F.least(F.col("line"), below))
+    shift = F.floor((F.col("line_x") - F.col("left")) / (2 * F.greatest(F.col("height"), F.lit(1.0))))
+    return lines.withColumn("shift", F.least(F.coalesce(shift, F.lit(0)), F.lit(5)).cast("int")).withColumn("letters", F.aggregate("bones", F.lit(0), lambda n, b: n + F.length(b))).drop("ws", "line_x", "left", "height")
+
+
+def furniture_lines(lines: DataFrame) -> DataFrame:
+    """document_id, page_index, source, line, kind of the lines that are running headers, footers or page numbers.
+
+    A header or footer is known by its recurrence: at the same place from the
+    same end of half the document's pages, and three at least, a line begins or
+    ends with the same two words (both pages of two: with all of these pairs), or the line recurs as a whole, wherever it stands. A page number
+    advances with the page. Where most of a page recurs, as in forms, only lines
+    that stand apart from its margin count. What such lines look like (end of the page, place
+    from there, shift from the margin, a number's pattern or not) is counted
+    over the documents of three pages or more, and decides lines of documents
+    that are too short to show a recurrence.
+    """
+    page = ["document_id", "page_index", "source"]
+    pages = lines.groupBy("document_id").agg(F.countDistinct("page_index").alias("pages"), F.count("*").alias("size"))
+    edge = lines.where("side is not null")
+    half = lambda n: (F.col("pages") > 1) & (F.col(n) >= F.least(F.lit(3), F.col("pages"))) & (2 * F.col(n) >= F.col("pages"))
+    # pairs of words at the beginning and end of a line, each at its place
+    b = F.col("bones")
+    pair = lambda name, k: F.struct(F.lit(name).alias("spot"), F.concat_ws(" ", F.slice(b, k, F.lit(2))).alias("pair"))
+    spots = F.when(F.size(b) > 2, F.array(pair("start", F.lit(1)), pair("second", F.lit(2)), pair("end", F.size(b) - 1))).when(F.size(b) == 2, F.array(pair("start", F.lit(1))))
+    words = edge.select(*page, "line", "side", "rank", F.inline(spots))
+    place = ["document_id", "side", "rank", "spot", "pair"]
+    seen_on = words.groupBy(*place).agg(F.countDistinct("page_index").alias("on")).where("on > 1")
+    again = words.join(seen_on, place).join(pages, "document_id").where(half("on")).groupBy(*page, "line").agg(F.count("*").alias("recurring"))
+    # whole lines anywhere
+    whole = lines.where("letters > 0 and value is null").select("document_id", "page_index", "pattern").groupBy("document_id", "pattern").agg(F.countDistinct("page_index").alias("same"))
+    whole = whole.join(pages, "document_id").where(half("same") & (F.col("same") > 2)).select("document_id", "pattern", F.lit(True).alias("everywhere"))
+    # numbers that advance with the page
+    one_number = F.regexp_count("pattern", F.lit("#")).between(1, 2)
+    ahead = edge.where(one_number & F.col("value").isNotNull()).select("document_id", "side", "page_index", (F.col("value") - F.col("page_index")).alias("ahead"))
+    ahead = ahead.groupBy("document_id", "side", "ahead").agg(F.countDistinct("page_index").alias("n")).join(pages, "document_id").where(half("n")).select("document_id", "side", "ahead", F.lit(True).alias("advances"))
+
+    e = lines.withColumn("ahead", F.when(one_number, F.col("value") - F.col("page_index")))
+    e = e.join(pages, "document_id").join(again, [*page, "line"], "left").join(whole, ["document_id", "pattern"], "left").join(ahead, ["document_id", "side", "ahead"], "left")
+    e = e.where("side is not null or everywhere")
+    recurs = (F.col("pages") > 1) & (F.col("recurring") >= F.when(F.col("pages") > 2, 1).otherwise(3))
+    e = e.withColumn("advances", F.coalesce("advances", F.lit(False))).withColumn("recurs", F.coalesce(recurs, F.lit(False)) | F.coalesce("everywhere", F.lit(False)))
+    # where most lines of a document recur its pages are copies or forms: only what stands apart from their margin can be furniture
+    e = saved(e.select(*page, "line", "pattern", "side", "rank", "shift", "pages", "size", "advances", "recurs"), "edges")
+    copied = e.groupBy("document_id").agg((2 * F.count_if("recurs") > F.max("size")).alias("copied"))
+    e = e.join(copied, "document_id")
+    e = e.withColumn("recurs", F.col("recurs") & (~F.col("copied") | (F.col("shift") > 0)))
+    # at most a thousand patterns hold a thousandth of the advancing lines
+    patterns = e.where("advances").groupBy("pattern").agg(F.count("*").alias("n"))
+    patterns = patterns.join(F.broadcast(patterns.agg(F.sum("n").alias("all"))), F.col("n") * 1000 >= F.col("all"))  # one row
+    patterns = patterns.agg(F.coalesce(F.collect_list("pattern"), F.array().cast("array<string>")).alias("patterns"))
+    near = lambda p: (F.col("pattern") == p) | ((F.length(p) > 4) & (F.levenshtein("pattern", p, 1) >= 0))
+    e = e.join(F.broadcast(patterns)).withColumn("numbered", F.col("advances") | F.contains("pattern", F.lit("#")) & F.exists("patterns", near)).drop("patterns")
+    look = ["side", "rank", "shift", "numbered"]
+    # a page number is furniture where it advances, another line where it recurs
+    true = F.when(F.col("numbered"), F.col("advances")).otherwise(F.col("recurs"))
+    looks = e.where("pages >= 3 and side is not null").groupBy(*look).agg(F.avg(true.cast("int")).alias("odds"))  # at most 72 rows
+    e = e.join(F.broadcast(looks), look, "left")
+    e = e.where(F.col("advances") | F.col("recurs") | (F.col("odds") >= 0.5))
+    return e.select(*page, "line", F.when(F.col("numbered"), "page_number").otherwise("header").alias("kind"))
+
+
+def layout(tokens: DataFrame) -> DataFrame:
+    """Per distinct token: kind (body, header, page_number), line, role 0 whole, 1 first half, 2 second half, and its mate."""
+    page = ["document_id", "page_index", "source"]
+    at = saved(placed(tokens), "placed")
+    kinds = furniture_lines(saved(page_lines(at), "page_lines"))
+    # a page has a few such lines
+    kinds = kinds.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("line", "kind"))).alias("kinds"))
+    t = at.select("token_id", *page, "at", "line", "y0", "text").join(kinds.hint("shuffle_hash"), page, "left")
+    order = Window.partitionBy(*page).orderBy("at")
+    t = t.withColumn("kind", F.coalesce(F.try_element_at("kinds", "line"), F.lit("body"))).drop("kinds")
+    t = t.withColumn("clean", F.regexp_replace("text", "\\p{Cf}", ""))
+    t = t.withColumn("after", F.lead("text").over(order)).withColumn("after_new", F.lead("line").over(order) != F.col("line")).withColumn("after_kind", F.lead("kind").over(order))
     splits = (F.col("kind") == "body") & F.col("after_new") & (F.col("after_kind") == "body") & F.col("clean").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
     t = t.withColumn("first", F.coalesce(splits, F.lit(False))).withColumn("before", F.lag("text").over(order)).withColumn("second", F.coalesce(F.lag("first").over(order), F.lit(False)))
     role = F.when(F.col("first"), 1).when(F.col("second"), 2).otherwise(0)
@@ -343,20 +464,30 @@ def word_counts(types: DataFrame) -> DataFrame:
 
 
 def lexicon(cores: DataFrame) -> Lexicon:
-    """The lexicon of `word_counts`; at most VOCABULARY words and as many shapes come to the driver."""
-    top = cores.orderBy(F.desc("n"), "word", "shape").limit(VOCABULARY).collect()
-    total = sum(r.n for r in top) or 1
-    words = [r for r in top if r.word and r.n >= RARE * total]
-    shapes = {r.shape for r in top if r.shape and r.n >= max(5, SHAPE * total)}
-    return Lexicon({r.word: r.n for r in words}, shapes, {r.word for r in words if r.lower < 0.3 * r.n})
+    """The lexicon of `word_counts`.
+
+    Words and shapes come to the driver from a share of all words on, so that
+    arithmetic bounds their number (1 / RARE and 1 / SHAPE), whatever the corpus.
+    """
+    total = cores.agg(F.sum("n")).first()[0] or 1
+    words = cores.where((F.col("word") != "") & (F.col("n") >= RARE * total)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower")).collect()
+    shapes = cores.where((F.col("shape") != "") & (F.col("n") >= max(5, SHAPE * total))).select("shape").distinct().collect()
+    return Lexicon({r.word: r.n for r in words}, {r.shape for r in shapes}, {r.word for r in words if r.lower < 0.3 * r.n}, total)
+
+
+def _own(shared: Broadcast) -> Lexicon:
+    """The lexicon of a broadcast, built once in each Python worker and kept with the broadcast."""
+    if not hasattr(shared, "lexicon"):
+        shared.lexicon = Lexicon(*shared.value)
+    return shared.lexicon
 
 
 def with_counts(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
     """a, b of distinct words or pairs of halves, and others: the counts of the words in them that are not in the vocabulary."""
-    shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names))
+    shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names, lex.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(*shared.value)
+        own = _own(shared)
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             asked = [own.others_in(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())]
@@ -371,10 +502,10 @@ def with_counts(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
 
 def judge(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
     """a, b, hyphen, wrong_a, wrong_b, better of each distinct word or pair of halves that shows noise."""
-    shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names))
+    shared = types.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names, lex.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(*shared.value)
+        own = _own(shared)
         for batch in batches:
             rows = []
             own.known = {}
@@ -395,11 +526,21 @@ def judge(types: DataFrame, lex: Lexicon, cores: DataFrame) -> DataFrame:
 
 
 class Pages:
-    """The words of all pages and the judgement of each distinct word; both kept in the shared folder."""
+    """The words of all pages, with boxes or not, and the judgement of each distinct word; kept in the shared folder.
 
-    def __init__(self, tokens: DataFrame):
+    Pages without boxes are texts of a few pages, by id; they share the lexicon
+    and the judgements, but only pages with boxes are counted.
+    """
+
+    def __init__(self, tokens: DataFrame, texts: DataFrame | None = None):
         self.words = saved(layout(tokens), "words")
-        types = saved(_keys(self.words).where("role < 2").groupBy("a", "b").agg(F.count("*").alias("n")), "types")
+        keyed = _keys(self.words).where("role < 2").select("a", "b", F.lit(1).alias("counted"))
+        self.text_words = None
+        if texts is not None:
+            patterns = [r.pattern for r in page_patterns(self.words).collect()]
+            self.text_words = saved(text_words(texts, header_wordings(self.words), patterns), "text-words")
+            keyed = keyed.unionByName(_keys(self.text_words).where("role < 2").select("a", "b", F.lit(0).alias("counted")))
+        types = saved(keyed.groupBy("a", "b").agg(F.sum("counted").alias("n")), "types")
         self.counts = saved(word_counts(types), "counts")
         self.lexicon = lexicon(self.counts)
         self.judged = saved(judge(types, self.lexicon, self.counts), "judged")
@@ -407,42 +548,53 @@ class Pages:
         bad = self.judged.where("b = ''").select("a")
         self.sound = types.where("b = ''").orderBy(F.desc("n"), "a").limit(SPELLINGS).join(bad, "a", "left_anti").select("a")
 
-    def noise(self) -> DataFrame:
-        """token_id, noise, better of every noisy token."""
-        rest = _keys(self.words).select("token_id", "role", "a", "b")
+    def noise(self, words: DataFrame | None = None) -> DataFrame:
+        """token_id, at, noise, better of every noisy token."""
+        words = self.words if words is None else words
+        rest = _keys(words).select("token_id", "at", "role", "a", "b")
         whole = rest.where("role = 0").join(F.broadcast(self.sound), "a", "left_anti")  # at most SPELLINGS rows
         marked = whole.unionByName(rest.where("role > 0")).join(self.judged, ["a", "b"])
         wrong = F.when(F.col("role") == 2, F.col("wrong_b")).otherwise(F.col("wrong_a"))
         kinds = F.array_compact(F.array(F.when(F.col("hyphen") & (F.col("role") == 1), F.lit("hyphen")), F.when(wrong, F.lit("misread"))))
-        body = marked.select("token_id", F.explode(kinds).alias("noise"), "better")
-        edge = self.words.where("kind <> 'body'").select("token_id", F.col("kind").alias("noise"), F.lit(None).cast("array<string>").alias("better"))
+        body = marked.select("token_id", "at", F.explode(kinds).alias("noise"), "better")
+        edge = words.where("kind <> 'body'").select("token_id", "at", F.col("kind").alias("noise"), F.lit(None).cast("array<string>").alias("better"))
         return body.unionByName(edge)
 
     def found(self) -> DataFrame:
         """token_id and noise of every noisy token, distinct."""
         return self.noise().select("token_id", "noise").distinct()
 
-    def paragraphs(self) -> DataFrame:
+    def texts_found(self) -> DataFrame:
+        """row_id and noise of every noise that a text without boxes holds, distinct."""
+        return self.noise(self.text_words).select(F.col("token_id").alias("row_id"), "noise").distinct()
+
+    def paragraphs(self, words: DataFrame | None = None) -> DataFrame:
         """document_id, page_index, source, paragraph, text: the repaired pages in continuous paragraphs.
 
         A new paragraph begins where the distance between lines is clearly
-        larger than the page's usual one. A page has a bounded number of tokens.
+        larger than the page's usual one, or after a blank line of a text. A
+        page has a bounded number of tokens.
         """
+        words = self.words if words is None else words
         pairs = self._bigrams()
-        fixes = self.noise().where("noise <> 'header' and noise <> 'page_number'").groupBy("token_id").agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
+        fixes = self.noise(words).where("noise <> 'header' and noise <> 'page_number'").groupBy("token_id", "at").agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
         page = ["document_id", "page_index", "source"]
         order = Window.partitionBy(*page).orderBy("at")
         # what stands before and after the word, of halves the joined one
         before = F.when(F.col("role") == 2, F.lag("text", 2).over(order)).otherwise(F.lag("text").over(order))
         after = F.when(F.col("role") == 1, F.lead("text", 2).over(order)).otherwise(F.lead("text").over(order))
-        words = self.words.where("kind = 'body'").withColumn("before", F.lower(before)).withColumn("after", F.lower(after))
-        words = words.join(fixes, "token_id", "left")
-        wrong = words.where("size(better) > 1").select("token_id", "before", "after", F.posexplode("better").alias("rank", "word"))
+        body = words.where("kind = 'body'").withColumn("before", F.lower(before)).withColumn("after", F.lower(after))
+        body = body.join(fixes, ["token_id", "at"], "left")
+        wrong = body.where("size(better) > 1").select("token_id", "at", "before", "after", F.posexplode("better").alias("rank", "word"))
+        # only the few pairs that are asked for are looked up in the table of all pairs
+        asked = wrong.select(F.col("before").alias("x"), F.col("word").alias("y")).unionByName(wrong.select(F.col("word").alias("x"), F.col("after").alias("y"))).distinct()
+        pairs = asked.join(pairs, ["x", "y"])
         left = wrong.join(pairs.select(F.col("x").alias("before"), F.col("y").alias("word"), F.col("n").alias("n1")), ["before", "word"], "left")
         both = left.join(pairs.select(F.col("x").alias("word"), F.col("y").alias("after"), F.col("n").alias("n2")), ["word", "after"], "left")
         best = F.max_by("word", F.struct(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)), -F.col("rank")))
-        chosen = both.groupBy("token_id").agg(best.alias("chosen"))
-        parts = words.join(chosen, "token_id", "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
+        chosen = both.groupBy("token_id", "at").agg(best.alias("chosen"))
+        # few tokens are noisy: their repair comes to the page as a map, not by another join of all words
+        parts = body.join(chosen, ["token_id", "at"], "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
         pages = parts.groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("words"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -452,6 +604,10 @@ class Pages:
 
         return pages.mapInPandas(run, "document_id string, page_index int, source string, paragraph int, text string")
 
+    def text_paragraphs(self) -> DataFrame:
+        """The same of the texts without boxes: document_id is the text's id, page_index 0."""
+        return self.paragraphs(self.text_words)
+
     def _bigrams(self) -> DataFrame:
         """All pairs of adjacent words, lower case, with their number."""
         order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
@@ -481,7 +637,10 @@ def reflow(words: list[dict]) -> list[str]:
     last_line, open_half = None, None
     for w in words:
         line, text = w["line"], fold(w["text"]).strip()
-        if line != last_line and (last_line is None or (line in tops and last_line in tops and tops[line] - tops[last_line] > 1.35 * usual and open_half is None)):
+        gap = line in tops and last_line in tops and tops[line] - tops[last_line] > 1.35 * usual
+        if gap and out and out[-1] and text[:1].islower() and not re.search(r"[.!?:;。！？…]['\"”’)\]]*$", out[-1][-1]):
+            gap = False  # an open sentence goes on
+        if line != last_line and (last_line is None or (gap and open_half is None)):
             out.append([])
         last_line = line
         if w["role"] == 1:
@@ -503,12 +662,43 @@ def reflow(words: list[dict]) -> list[str]:
     return [" ".join(p) for p in out if p]
 
 
-_NUMBER_LINE = re.compile(r"[\W_]*(?:[0-9oilzsbgqOILZSBG]{1,4}|[ivxl]+)(?:[\W_]+(?:[0-9oilzsbgqOILZSBG]{1,4}))?[\W_]*", re.I)
+def documents(paragraphs: DataFrame) -> DataFrame:
+    """document_id, source, paragraph, first_page, last_page, text: paragraphs that run over page ends put together.
+
+    A page's last paragraph goes on where it ends in no closing mark and the
+    next page begins in lower case. How far a run of such pages reaches is found
+    in blocks of pages, then over the blocks, so no document comes into one task.
+    """
+    page = ["document_id", "source", "page_index"]
+    p = paragraphs.withColumn("open", ~F.col("text").rlike("[.!?:;。！？…]['\"”’)\\]]*\\s*$")).withColumn("goes_on", F.col("text").rlike("^[\\p{Ll}]"))
+    ends = p.groupBy(*page).agg(F.max_by("open", "paragraph").alias("open"), F.min_by("goes_on", "paragraph").alias("goes_on"), F.max("paragraph").alias("last"))
+    before = ends.select("document_id", "source", (F.col("page_index") + 1).alias("page_index"), F.col("open").alias("open_before"), F.col("last").alias("last_before"))
+    e = ends.join(before, page, "left").withColumn("joins", F.coalesce(F.col("open_before") & F.col("goes_on"), F.lit(False)))
+    # a page of one paragraph that joins passes the beginning on; all others begin anew
+    begins = F.when(~(F.col("joins") & (F.col("last") == 0)), F.struct("page_index", "last"))
+    e = e.withColumn("block", F.floor(F.col("page_index") / 1024))
+    inside = Window.partitionBy("document_id", "source", "block").orderBy("page_index")
+    e = e.withColumn("own", F.last(begins, True).over(inside))
+    blocks = e.groupBy("document_id", "source", "block").agg(F.max_by("own", "page_index").alias("end"))
+    blocks = blocks.withColumn("carried", F.last("end", True).over(Window.partitionBy("document_id", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.join(blocks.drop("end"), ["document_id", "source", "block"]).withColumn("start", F.coalesce("own", "carried"))
+    start_before = e.select("document_id", "source", (F.col("page_index") + 1).alias("page_index"), F.col("start").alias("start_before"))
+    e = e.join(start_before, page, "left").select(*page, "joins", "start_before")
+    j = p.join(e, page)
+    first = F.col("joins") & (F.col("paragraph") == 0)
+    j = j.withColumn("home", F.when(first, F.col("start_before")).otherwise(F.struct("page_index", F.col("paragraph").alias("last"))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "paragraph", "text"))), lambda x: x["text"]), " ")
+    return j.groupBy("document_id", "source", "home").agg(text.alias("text"), F.max("page_index").alias("last_page")).select("document_id", "source", F.col("home.page_index").alias("first_page"), F.col("home.last").alias("paragraph"), "last_page", "text")
+
+
 _ROMAN = re.compile(r"[ivxl]+", re.I)
+_LOOSE = re.compile(r"[oilzsbgq]{1,3}|[ivxl]+")
+_STRICT = re.compile(r"(?=.*[0-9])[0-9oilzsbgq]{1,4}")
+_SIGNED = re.compile(r"\s*[-–—|]\s*\S+\s*[-–—|]\s*")
 
 
-def _skeleton(line: str) -> str:
-    return re.sub(r"[\W\d_]+", "", blurred(line.lower()))
+def _bone(word: str) -> str:
+    return re.sub(r"[\W\d_]+", "", blurred(word.lower()))
 
 
 def _distance_at_most(a: str, b: str, k: int) -> bool:
@@ -525,135 +715,164 @@ def _distance_at_most(a: str, b: str, k: int) -> bool:
     return row[-1] <= k
 
 
-def _page_line(line: str) -> str | None:
-    """'sure' for a line with page words or signs around a number, 'bare' for a number alone."""
-    tokens = line.split()
-    if not tokens or len(tokens) > 6:
-        return None
-    words = [t for t in tokens if sum(c.isalpha() for c in t) >= 2 and not _ROMAN.fullmatch(t.strip("-–—/|.")) and not re.fullmatch(r"[0-9oilzsbgq]{1,4}", t, re.I)]
-    numbers = [t for t in tokens if t not in words]
-    if not all(any(_distance_at_most(_EDGE.sub("", NOISE.sub("", w.lower())), p, 1 if len(p) < 4 else 2) for p in PAGE_WORDS) for w in words):
-        return None
-    if not numbers or not all(_NUMBER_LINE.fullmatch(t) or not _ALNUM.search(t) for t in numbers) or not any(_ALNUM.search(t) for t in numbers):
-        return None
-    if words or re.fullmatch(r"[-–—|]\s*\S+\s*[-–—|]", line.strip()) or "/" in line:
-        return "sure"
-    return "bare" if len(numbers) == 1 else None
+def line_pattern(line: str) -> tuple[str, int | None]:
+    """A folded line's words out of focus with its numbers as #, and its first number: the pattern of `page_lines`."""
+    out, values = [], []
+    words = line.lower().split()
+    for w in words:
+        bare = re.sub(r"[\W_]+", "", w)
+        if _STRICT.fullmatch(bare):
+            out.append("#")
+            values.append(int(bare.translate(_TO_DIGIT)))
+        else:
+            out.append("#" if len(words) <= 3 and _LOOSE.fullmatch(bare) else _bone(w))
+    return "".join(out), values[0] if values else None
 
 
-def furniture(lines: list[str], known: frozenset[str]) -> dict[int, str]:
+def furniture(lines: list[str], worded: set[int], patterns: frozenset[str]) -> dict[int, str]:
     """Line number to 'header' or 'page_number' of the lines of one to four pages without boxes.
 
-    A page number has page words or signs, or is a bare number at an end or
-    beside a header, or continues another. A header recurs among the lines, or
-    stands at an end or beside a page number and has the wording of the
-    corpus's headers.
+    A page number has the pattern of the corpus's page numbers with words or
+    signs; a bare number is one at an end, beside a header, or where it continues
+    another. A header recurs among the lines, or stands at an end or beside a
+    page number and has the wording of the corpus's headers (`worded`).
+    Recurrence is found by keys of a line's words, each line being compared
+    with the last one of the same key, so that the work grows with the lines.
     """
     full = [i for i, x in enumerate(lines) if x.strip()]
     if not full:
         return {}
     out: dict[int, str] = {}
-    kinds = {i: _page_line(lines[i]) for i in full}
-    out.update({i: "page_number" for i in full if kinds[i] == "sure"})
-    bones = {i: _skeleton(lines[i]) for i in full if i not in out and kinds[i] is None and 6 <= len(lines[i]) <= 120}
-    items = [(i, b) for i, b in bones.items() if len(b) >= 5 and not re.search(r"[.;]\s*$", lines[i])]
-    after = {i: lines[j].split()[:2] for i, j in zip(full, full[1:])}
-    grams = [{b[k : k + 3] for k in range(len(b) - 2)} for _, b in items]
-    for n, (i, b) in enumerate(items):
-        for m in range(n + 1, len(items)):
-            j, c = items[m]
-            k = max(1, len(b) // 6)
-            # an edit destroys three of the triples of characters at most
-            # a repeated sentence goes on alike, below a running header the text differs
-            alike = i in after and j in after and after[i] == after[j] and not header_words(lines[i]) & known
-            if j - i > 1 and not alike and len(grams[n] & grams[m]) >= len(grams[n]) - 3 * k and _distance_at_most(b, c, k):
-                out[i] = out[j] = "header"
-    bare = [i for i in full if kinds[i] == "bare"]
-    value = {i: int(m.group()) for i in bare if (m := re.search(r"\d+", lines[i].translate(_TO_DIGIT)))}
+    pattern, value = {}, {}
+    for i in full:
+        pattern[i], value[i] = line_pattern(lines[i])
+    near_pattern = lambda p: p in patterns or len(p) > 4 and any(len(q) > 4 and _distance_at_most(p, q, 1) for q in patterns)
+    bare, wordy = [], {}
+    for i in full:
+        p = pattern[i]
+        if 1 <= p.count("#") <= 2:
+            if p == "#" * len(p):
+                if _SIGNED.fullmatch(lines[i]) or "/" in lines[i]:
+                    out[i] = "page_number"
+                elif p == "#":
+                    bare.append(i)
+            elif near_pattern(p):
+                out[i] = "page_number"
+            else:
+                wordy.setdefault(p, []).append(i)
+    for same in wordy.values():  # a pattern of its own whose number goes on from line to line
+        if len(same) > 1 and all(value[i] is not None for i in same) and all(0 < value[b] - value[a] <= 3 for a, b in zip(same, same[1:])) and len(pattern[same[0]]) <= 12:
+            out.update(dict.fromkeys(same, "page_number"))
+    closed = re.compile(r"[.;]\s*$")
     place = {i: n for n, i in enumerate(full)}
     near = lambda i: [full[place[i] + d] for d in (-1, 1) if 0 <= place[i] + d < len(full)]
-    runs = {i for i in bare for j in bare if i != j and (abs(value.get(i, -9) - value.get(j, -99)) <= 3 and i in value and j in value and (value[i] - value[j]) * (i - j) > 0)}
+    follower = {i: lines[j].split()[:2] for i, j in zip(full, full[1:])}
+    last: dict[tuple, int] = {}
+    for i in full:
+        if i in out or i in bare or closed.search(lines[i]):
+            continue
+        words = [b for w in lines[i].split() if (b := _bone(w))]
+        bones = "".join(words)
+        if not bones or (len(bones) < 5 and i not in (full[0], full[-1]) and not any(out.get(j) == "page_number" for j in near(i))):
+            continue
+        k = max(1, len(bones) // 6)
+        for key in {("all", bones), ("start", *words[:2]), ("end", *words[-2:]), ("middle", *words[1:3]), ("outer", words[0], words[-1], len(words))}:
+            j = last.get(key)
+            last[key] = i
+            if j is None or i - j < 2:
+                continue
+            # a repeated sentence goes on alike, below a running header the text differs
+            alike = i in follower and j in follower and follower[i] == follower[j] and i not in worded
+            if not alike and _distance_at_most(bones, "".join(b for w in lines[j].split() if (b := _bone(w))), k):
+                out[i] = out[j] = "header"
+    numbers = [i for i in bare if value[i] is not None]
+    runs = {x for a, b in zip(numbers, numbers[1:]) if 0 < value[b] - value[a] <= 3 for x in (a, b)}
     for i in bare:
-        roman = bool(_ROMAN.fullmatch(lines[i].strip())) and not re.search(r"\d", lines[i])
+        roman = bool(_ROMAN.fullmatch(lines[i].strip())) and not _DIGIT.search(lines[i])
         if i in runs or roman or i in (full[0], full[-1]) or any(out.get(j) == "header" for j in near(i)):
             out[i] = "page_number"
-    for i in bones:
-        if i not in out and not re.search(r"[.;]\s*$", lines[i]) and (i in (full[0], full[-1]) or any(out.get(j) == "page_number" for j in near(i))) and header_words(lines[i]) & known:
+    for i in full:
+        if i in worded and i not in out and not closed.search(lines[i]) and (i in (full[0], full[-1]) or any(out.get(j) == "page_number" for j in near(i))):
             out[i] = "header"
     return out
 
 
-def header_words(line: str) -> frozenset[str]:
-    """Pairs of adjacent words of a line, numbers and codes as #, lower case: the wording of headers."""
-    words = ["#" if _DIGIT.search(w) else w.strip(",.") for w in NOISE.sub("", fold(line)).lower().split() if w != "|"] + (["|"] if "|" in line else [])
-    return frozenset(f"{a} {b}" for a, b in zip(words, words[1:])) | (frozenset({"|"}) if " | " in line else frozenset())
+def _wording(text: Column) -> Column:
+    """A word as headers are compared by: out of focus, numbers and codes as #, signs as they are."""
+    seen, flat = _plainer()
+    low = F.lower(F.regexp_replace(text, "[\\p{Cf}\\p{M},.^~_]", ""))
+    return F.when(low.rlike("[0-9]"), "#").otherwise(F.translate(low, seen, flat))
 
 
-HEADER_PAIRS = 5_000  # wordings of headers that come to the driver at most
+def header_wordings(words: DataFrame) -> DataFrame:
+    """x, y: pairs of adjacent words that headers hold far more often than text does."""
+    order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
+    w = words.where("kind <> 'page_number'").withColumn("x", _wording(F.col("text"))).withColumn("k", F.struct("kind", "line"))
+    w = w.withColumn("y", F.lead("x").over(order)).withColumn("k2", F.lead("k").over(order)).where("k = k2 and x <> '#'")
+    header = F.col("kind") == "header"
+    pair = w.groupBy("x", "y").agg(F.count_if(header).alias("h"), F.count_if(~header).alias("b"))
+    return pair.where("h > 3 * b + 1").select("x", "y")
 
 
-def header_wordings(words: DataFrame) -> frozenset[str]:
-    """Pairs of words that headers hold far more often than text does; at most HEADER_PAIRS."""
-    order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
-    plain = F.lower(F.regexp_replace("text", "[\\p{Cf},.^~_]", ""))
-    w = words.select("kind", "document_id", F.when(plain.rlike("[0-9]"), "#").otherwise(plain).alias("x"), F.struct("kind", "line").alias("k"), F.lead(F.struct("kind", "line")).over(order).alias("k2"), F.lead(F.when(plain.rlike("[0-9]"), "#").otherwise(plain)).over(order).alias("y"))
-    pair = w.where("k = k2 and kind <> 'page_number'").groupBy("x", "y").agg(F.countDistinct(F.when(F.col("kind") == "header", F.col("document_id"))).alias("h"), F.count_if(F.col("kind") == "header").alias("hn"), F.count_if(F.col("kind") == "body").alias("b"))
-    top = pair.where("h >= 3 and hn > 3 * b and x <> '#'").orderBy(F.desc("h"), "x", "y").limit(HEADER_PAIRS).collect()
-    return frozenset(f"{r.x} {r.y}" for r in top) | {"|"}
+def page_patterns(words: DataFrame) -> DataFrame:
+    """pattern: those of page number lines that a thousandth of these lines have, so at most a thousand."""
+    lines = page_lines(words.where("kind = 'page_number'").select("document_id", "page_index", "source", "line", "at", "text", F.lit(1).alias("lines"), F.lit(0.0).alias("line_x"), F.lit(0.0).alias("left"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1")))
+    n = lines.groupBy("pattern").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), F.col("n") * 1000 >= F.col("all")).select("pattern")  # one row
 
 
-def text_noise(texts: DataFrame, id_col: str, text_col: str, lex: Lexicon, wordings: frozenset[str], cores: DataFrame) -> DataFrame:
-    """id, noise of the text lines of pages that come without boxes; one distinct row per noise present.
+def text_words(texts: DataFrame, wordings: DataFrame, patterns: list[str]) -> DataFrame:
+    """The words of texts that come without boxes, in the form of `layout`: token_id is the text's id, at tells its words apart.
 
-    What needs the count of a word outside the vocabulary is put off, and judged once per distinct word or pair of halves.
+    texts has id and text. A furniture line is one row with its kind. Lines that
+    may be headers (at an end, or beside a line with few letters and a number)
+    learn from a join with the wordings whether they have the wording of headers.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((lex.counts, lex.shapes, lex.names, wordings))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, shapes, names, known = shared.value
-        own = Lexicon(counts, shapes, names)
-        own.misread = functools.lru_cache(CACHE)(own.misread)
-        own.others_in = functools.lru_cache(CACHE)(own.others_in)
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                late: set[tuple[str, str]] = set()
-                noise = line_noise(text, own, known, late)
-                out += [(i, x, None, None) for x in sorted(noise)] + [(i, None, a, b) for a, b in sorted(late) if b or "misread" not in noise]
-            yield pd.DataFrame(out, columns=["row_id", "noise", "a", "b"])
-
-    rows = saved(texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "row_id bigint, noise string, a string, b string"), "lines")
-    late = rows.where("noise is null").select("row_id", "a", "b")
-    judged = judge(late.select("a", "b").distinct(), lex, cores)
-    kinds = F.array_compact(F.array(F.when(F.col("hyphen"), F.lit("hyphen")), F.when(F.col("wrong_a") | F.col("wrong_b"), F.lit("misread"))))
-    return rows.where("noise is not null").select("row_id", "noise").unionByName(late.join(judged, ["a", "b"]).select("row_id", F.explode(kinds).alias("noise"))).distinct()
-
-
-def line_noise(text: str | None, lex: Lexicon, known: frozenset[str], late: set[tuple[str, str]] | None = None) -> set[str]:
-    """The noise of a text; tokens and halves that need the count of a word outside the vocabulary go to `late`, if given."""
-    if not text:
-        return set()
+    t = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), "text").distinct()
+    lines = t.select("id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda l: F.trim(l["x"]) != "")).alias("n", "l"), F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("all"))
+    few = (F.length(F.regexp_replace("l.x", "[^\\p{L}]", "")) <= 24) & F.col("l.x").rlike("[0-9]|^\\W*\\w{1,4}\\W*$")
+    order = Window.partitionBy("id").orderBy("n")
+    lines = lines.withColumn("few", few).withColumn("beside", F.coalesce(F.lag("few").over(order), F.lit(False)) | F.coalesce(F.lead("few").over(order), F.lit(False)))
+    maybe = lines.where((F.col("n") == 0) | (F.col("n") == F.col("all") - 1) | F.col("beside")).select("id", "l.i", F.filter(F.split("l.x", "\\s+"), lambda w: w != "").alias("ws"))
+    w = F.transform("ws", _wording)
+    pairs = maybe.select("id", "i", w.alias("ws")).where("size(ws) > 1").select("id", "i", F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("x"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("y"))).alias("p"))
+    known = pairs.select("id", "i", "p.x", "p.y").join(wordings, ["x", "y"]).groupBy("id").agg(F.collect_set("i").alias("worded"))
+    rows = t.join(known, "id", "left")
+    known_patterns = frozenset(patterns)
+    names = ["token_id", "at", "line", "y0", "kind", "text", "role", "mate"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, text, worded in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                out += [(i, *w) for w in lines_to_words(text, set(worded or ()), known_patterns)]
+            cols = list(zip(*out)) or [()] * len(names)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    words = rows.select("id", "text", "worded").mapInArrow(run, "token_id bigint, at int, line int, y0 double, kind string, text string, role int, mate string")
+    return words.select("token_id", F.col("token_id").cast("string").alias("document_id"), F.lit(0).alias("page_index"), F.lit("text").alias("source"), "at", "line", "y0", "kind", "text", "role", "mate")
+
+
+def lines_to_words(text: str, worded: set[int], patterns: frozenset[str]) -> Iterator[tuple[int, int, float, str, str, int, str]]:
+    """at, line, height on the page (blank lines count twice), kind, text, role and mate of a text's words; a furniture line is one word."""
     lines = text.split("\n")
-    edge = furniture([fold(x) for x in lines], known)
-    noise = set(edge.values())
-    body = [x.split() for i, x in enumerate(lines) if i not in edge and x.strip()]
-    second = False
-    for n, tokens in enumerate(body):
-        for k, raw in enumerate(tokens):
-            f = fold(raw)
-            if second and k == 0:
-                second = False
-                continue
-            follower = body[n + 1][0] if n + 1 < len(body) and body[n + 1] else None
-            if k == len(tokens) - 1 and follower and re.search(rf"[^\W_][{MARKS}]$", f):
-                if late is not None and lex.others_in(raw, follower):
-                    late.add((raw, follower))
-                else:
-                    hyphen, wrong_a, wrong_b, _ = lex.halves(f, fold(follower))
-                    noise |= ({"hyphen"} if hyphen else set()) | ({"misread"} if wrong_a or wrong_b else set())
-                second = True
-            elif late is not None and lex.others_in(raw, ""):
-                late.add((raw, ""))
-            elif lex.misread(f)[0]:
-                noise.add("misread")
-    return noise
+    edge = furniture([fold(x) for x in lines], worded, patterns)
+    body = [(i, ws) for i, x in enumerate(lines) if i not in edge and (ws := x.split())]
+    at, half = 0, None
+    taken = sorted(edge)
+    for n, (i, ws) in enumerate(body):
+        height = float(i - bisect_left(taken, i))  # as if furniture lines weren't there
+        follower = body[n + 1][1][0] if n + 1 < len(body) else None
+        for k, w in enumerate(ws):
+            if half is not None and k == 0:
+                role, mate, half = 2, half, None
+            elif k == len(ws) - 1 and follower is not None and re.search(rf"[^\W_][{MARKS}]$", fold(w)):
+                role, mate, half = 1, follower, w
+            else:
+                role, mate = 0, ""
+            yield at, i, height, "body", w, role, mate
+            at += 1
+    for i, kind in edge.items():
+        yield at, i, float(i), kind, lines[i], 0, ""
+        at += 1

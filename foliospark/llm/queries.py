@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import canonical, encode, mixing, moderation, mojibake, ocr
-from foliospark.session import table
+from foliospark.session import saved, table
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> ocr.Pages:
+    texts = table(spark, sf_dir, "ocr_unbundle").select(F.col("unbundle_id").alias("id"), F.col("docling.text").alias("text"))
+    return ocr.Pages(table(spark, sf_dir, "ocr_tokens"), texts)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ocr.Pages(table(spark, sf_dir, "ocr_tokens"))
+    pages = _pages(spark, sf_dir)
     tokens = pages.found().select(F.lit("ocr_tokens").alias("src"), F.col("token_id").alias("row_id"), "noise")
-    texts = table(spark, sf_dir, "ocr_unbundle").select("unbundle_id", F.col("docling.text").alias("text"))
-    lines = ocr.text_noise(texts, "unbundle_id", "text", pages.lexicon, ocr.header_wordings(pages.words), pages.counts)
-    return tokens.unionByName(lines.select(F.lit("ocr_unbundle").alias("src"), "row_id", "noise"))
+    return tokens.unionByName(pages.texts_found().select(F.lit("ocr_unbundle").alias("src"), "row_id", "noise"))
 
 
 def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired pages in continuous paragraphs."""
-    return ocr.Pages(table(spark, sf_dir, "ocr_tokens")).paragraphs()
+    """The repaired pages and texts without boxes in continuous paragraphs."""
+    pages = _pages(spark, sf_dir)
+    of = lambda df, src: df.select(F.lit(src).alias("src"), *df.columns)
+    return of(pages.paragraphs(), "ocr_tokens").unionByName(of(pages.text_paragraphs(), "ocr_unbundle"))
+
+
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired documents: paragraphs that run over page ends put together."""
+    return ocr.documents(saved(ocr.Pages(table(spark, sf_dir, "ocr_tokens")).paragraphs(), "paragraphs"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +90,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_documents": p1_documents, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
 SQL: dict[str, str] = {}

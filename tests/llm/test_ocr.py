@@ -74,13 +74,68 @@ def test_empty(spark):
     assert pages.found().count() == 0 and pages.paragraphs().count() == 0
 
 
+def kinds(text, worded=(), patterns=()):
+    return {i: k for i, k in O.furniture([O.fold(x) for x in text.split("\n")], set(worded), frozenset(patterns)).items()}
+
+
 def test_lines_without_boxes():
-    lex = O.Lexicon({"the": 900, "board": 300, "exceptional": 300, "off-site": 200, "closed": 300}, set(), set())
-    known = frozenset({"internal use", "|"})
     text = "Kelmora Depot internal use\nthe excep-\ntional board closed\n- 3 -\nKelmora Depot internal use\ntbe off-\nsite board\n- 4 -"
-    assert O.line_noise(text, lex, known) == {"header", "page_number", "hyphen", "misread"}
-    assert O.line_noise("the board closed.\n\n390\nthe off-site board closed", lex, known) == set()
-    assert O.line_noise(None, lex, known) == O.line_noise("", lex, known) == set()
+    assert kinds(text) == {0: "header", 3: "page_number", 4: "header", 7: "page_number"}
+    assert kinds("the board closed.\n\n390\nthe off-site board closed") == {}
+    assert kinds("") == {}
+    # a header that does not recur has the corpus's wording, a page number its pattern, however far out of focus
+    assert kinds("Kelmora Depot internal use\nthe board closed\nPagc 4", {0}, {O.line_pattern("page 4")[0]}) == {0: "header", 2: "page_number"}
+    # long lines and short ones recur too, whatever stands between
+    long = "Kelmora " * 40
+    assert kinds(f"{long}\none thing\nPage 1\n{long}\nanother\nPage 2") == {0: "header", 2: "page_number", 3: "header", 5: "page_number"}
+
+
+def noise_of(spark, texts, tokens=None):
+    pages = O.Pages(spark.createDataFrame(tokens if tokens is not None else corpus(), SCHEMA), spark.createDataFrame(texts, "id bigint, text string"))
+    got = {}
+    for r in pages.texts_found().collect():
+        got.setdefault(r.row_id, set()).add(r.noise)
+    return got, pages
+
+
+def test_texts_without_boxes_share_the_judgement(spark):
+    texts = [(1, "the second inspection of the excep-\ntional board was closed"), (2, "tbe second insp^ection was closed\n\nthe building"), (2, "tbe second insp^ection was closed\n\nthe building"), (3, None), (4, ""), (5, "Kelmora Registry bound volume\nthe board was\nPage 9\nKelmora Registry bound volume\nclosed again\nPage 10")]
+    got, pages = noise_of(spark, texts)
+    assert got == {1: {"hyphen"}, 2: {"misread"}, 5: {"header", "page_number"}}
+    text = {}
+    for r in pages.text_paragraphs().orderBy("document_id", "paragraph").collect():
+        text.setdefault(r.document_id, []).append(r.text)
+    assert text == {"1": ["the second inspection of the exceptional board was closed"], "2": ["the second inspection was closed the building"], "5": ["the board was closed again"]}
+
+
+def test_headers_at_the_left_margin_are_found_by_recurrence(spark):
+    rows, n = [], 0
+    words = ["inspection", "building", "second", "closed", "form", "board", "site", "exceptional", "after", "again", "depot", "annex"]
+    for p in range(12):
+        body = [(90.0, " ".join(words[(7 * p + 5 * k + i * (k + 1)) % 12] for i in range(5))) for k in range(6)]
+        rows += page("d", p, [(90.0, "Kelmora Registry volume"), *body, (90.0, f"{p + 3}")], start=n)
+        n = len(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.token_id: r.noise for r in O.Pages(df).found().where("noise in ('header', 'page_number')").collect()}
+    want = {r[0]: "header" for r in rows if r[5] in ("Kelmora", "Registry", "volume")} | {r[0]: "page_number" for r in rows if r[5].isdigit()}
+    assert got == want
+
+
+def test_no_word_is_too_long():
+    word = "pneumono" * 6
+    assert O.Lexicon({word: 500, "the": 500}, set(), set()).misread(word[:-1] + "x") == (True, [word])
+
+
+def test_codes_of_any_length_take_an_established_shape():
+    lex = O.Lexicon({}, {"A-9/9", "9.9"}, set())
+    assert lex.code("X-OO1lSS0O0OlOZ8/2O") == "X-0011550000102" + "8/20"
+    assert lex.code("X-2001/20") is None and lex.code("12") is None and lex.code("l2.O4") == "12.04"
+
+
+def test_documents_join_paragraphs_over_pages(spark):
+    rows = [("d", 0, "a", 0, "First."), ("d", 0, "a", 1, "It begins"), ("d", 1, "a", 0, "goes on"), ("d", 2, "a", 0, "and ends."), ("d", 2, "a", 1, "New."), ("d", 4, "a", 0, "after a gap"), ("d", 5, "a", 0, "Upper begins anew"), ("e", 1023, "a", 0, "over a"), ("e", 1024, "a", 0, "block"), ("e", 1025, "a", 0, "and further")]
+    got = [tuple(r) for r in O.documents(spark.createDataFrame(rows, "document_id string, page_index int, source string, paragraph int, text string")).orderBy("document_id", "first_page", "paragraph").collect()]
+    assert got == [("d", "a", 0, 0, 0, "First."), ("d", "a", 0, 1, 2, "It begins goes on and ends."), ("d", "a", 2, 1, 2, "New."), ("d", "a", 4, 0, 4, "after a gap"), ("d", "a", 5, 0, 5, "Upper begins anew"), ("e", "a", 1023, 0, 1025, "over a block and further")]
 
 
 def test_rare_word_below_the_vocabulary_keeps_its_own_count(spark, monkeypatch):
@@ -91,9 +146,8 @@ def test_rare_word_below_the_vocabulary_keeps_its_own_count(spark, monkeypatch):
     assert "dolmor" not in pages.lexicon.counts and "dolmar" in pages.lexicon.counts
     text = {r[0]: r[5] for r in rows}
     assert "dolmor" not in {text[r.token_id] for r in pages.found().where("noise = 'misread'").collect()}
-    texts = spark.createDataFrame([(1, "the dolmor was closed"), (2, "the dolmcr was closed")], "id bigint, text string")
-    got = O.text_noise(texts, "id", "text", pages.lexicon, frozenset(), pages.counts).collect()
-    assert [(r.row_id, r.noise) for r in got] == [(2, "misread")]
+    got, _ = noise_of(spark, [(1, "the dolmor was closed"), (2, "the dolmcr was closed")], rows)
+    assert got == {2: {"misread"}}
 
 
 def test_all_pairs_rank_whole_and_divided_words(spark, monkeypatch):
