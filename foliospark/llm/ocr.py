@@ -32,8 +32,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pandas as pd
 import pyarrow as pa
@@ -328,40 +329,46 @@ EDGE = 3  # lines at either end of a page whose beginnings and ends are compared
 _DIGITS = ("oilzsbgq", "01125699")
 
 
-def placed(tokens: DataFrame) -> DataFrame:
-    """Per distinct token: its number on the page, its line, where the line begins, and how many lines there are."""
-    page = ["document_id", "page_index", "source"]
-    by_page = Window.partitionBy(*page)
+PAGE = ["document_id", "page_index", "source"]
+LINE = [*PAGE, "line"]
+
+
+def page_lines(tokens: DataFrame) -> DataFrame:
+    """Per line of a page: y0, its place from the top and among `lines`, its shift from the margin in heights, and its words in order.
+
+    ws holds token_id, at (the number on the page) and text of each distinct token.
+    """
+    by_page = Window.partitionBy(*PAGE)
     order = by_page.orderBy("token_pos", "token_id")
-    t = tokens.where("text is not null").select("token_id", *page, "token_pos", "text", "x0", "y0", "y1")
-    t = t.withColumn("again", F.lag("token_id").over(order) == F.col("token_id")).where("again is null or not again").drop("again")
-    t = t.withColumn("px", F.lag("x0").over(order)).withColumn("py", F.lag("y0").over(order)).withColumn("at", F.row_number().over(order))
-    step = (F.abs(F.col("y0") - F.col("py")) > 0.65 * (F.col("y1") - F.col("y0"))) | (F.col("x0") < F.col("px") - 60)
-    t = t.withColumn("new", (F.col("at") == 1) | F.coalesce(step, F.lit(False)))
-    t = t.withColumn("line", F.sum(F.col("new").cast("int")).over(order)).withColumn("line_x", F.last(F.when(F.col("new"), F.col("x0")), True).over(order))
+    t = tokens.where("text is not null").select("token_id", *PAGE, "token_pos", "text", "x0", "y0", "y1")
+    t = t.withColumn("before", F.lag(F.struct("token_id", "x0", "y0")).over(order)).withColumn("at", F.row_number().over(order)).where("before is null or before.token_id <> token_id")
+    step = (F.abs(F.col("y0") - F.col("before.y0")) > 0.65 * (F.col("y1") - F.col("y0"))) | (F.col("x0") < F.col("before.x0") - 60)
+    t = t.withColumn("line", F.sum((F.col("before").isNull() | F.coalesce(step, F.lit(False))).cast("int")).over(order))
     t = t.withColumn("lines", F.max("line").over(by_page)).withColumn("left", F.min("x0").over(by_page))
-    return t.select("token_id", *page, "at", "line", "lines", "line_x", "left", "y0", "y1", "text")
+    lines = t.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("at", "token_id", "text"))).alias("ws"), F.min_by("y0", "at").alias("y0"), F.min_by("x0", "at").alias("x0"), F.first("left").alias("left"), F.first("lines").alias("lines"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+    shift = F.floor((F.col("x0") - F.col("left")) / (2 * F.greatest(F.col("height"), F.lit(1.0))))
+    return lines.select(*LINE, "lines", "y0", F.least(F.coalesce(shift, F.lit(0)), F.lit(5)).cast("int").alias("shift"), "ws")
 
 
-def page_lines(tokens: DataFrame) -> DataFrame:
-    """Per line of `placed`: its words out of focus, its pattern (numbers as #), its number, its place and how far it is shifted."""
+def _bare(ws: Column) -> Column:
+    """The words of a line in lower case without marks and signs, one below the other."""
+    text = F.lower(F.array_join(F.transform(ws, lambda w: w["text"]), "\n"))
+    return F.regexp_replace(text, "[\\p{Cf}\\p{M}\\p{P}\\p{S}]", "")
+
+
+def _pattern(bare: Column, n_words: Column) -> Column:
+    """The same out of focus, with each number as #."""
     seen, flat = _plainer()
-    low = F.lower(F.regexp_replace("text", "[\\p{Cf}\\p{M}]", ""))
-    bare = F.regexp_replace(low, "[\\p{P}\\p{S}]", "")
-    strict, loose = bare.rlike("^[0-9]{1,4}$|^(?=.*[0-9])[0-9oilzsbgq]{1,4}$"), bare.rlike("^[oilzsbgq]{1,3}$|^[ivxl]+$")
-    bone = F.regexp_replace(F.translate(low, seen, flat), "[^\\p{L}]", "")
-    value = F.when(strict, F.translate(bare, *_DIGITS).try_cast("int"))
-    t = tokens.withColumn("w", F.struct("at", bone.alias("bone"), strict.alias("strict"), loose.alias("loose"), value.alias("value")))
-    lines = t.groupBy("document_id", "page_index", "source", "line").agg(
-        F.array_sort(F.collect_list("w")).alias("ws"), F.max("lines").alias("lines"), F.max("line_x").alias("line_x"), F.max("left").alias("left"), F.percentile_approx(F.col("y1") - F.col("y0"), 0.5).alias("height")
-    )
-    part = lambda w: F.when(w["strict"] | (w["loose"] & (F.size("ws") <= 3)), "#").otherwise(w["bone"])
-    bones = F.filter(F.transform("ws", part), lambda b: (b != "#") & (b != ""))
-    lines = lines.withColumn("pattern", F.array_join(F.transform("ws", part), "")).withColumn("bones", bones).withColumn("value", F.try_element_at(F.array_compact(F.transform("ws", lambda w: w["value"])), F.lit(1)))
-    below = F.col("lines") - F.col("line") + 1
-    lines = lines.withColumn("side", F.when((F.col("line") <= EDGE) & (F.col("line") <= below), "top").when(below <= EDGE, "bottom")).withColumn("rank", F.least(F.col("line"), below))
-    shift = F.floor((F.col("line_x") - F.col("left")) / (2 * F.greatest(F.col("height"), F.lit(1.0))))
-    return lines.withColumn("shift", F.least(F.coalesce(shift, F.lit(0)), F.lit(5)).cast("int")).withColumn("letters", F.aggregate("bones", F.lit(0), lambda n, b: n + F.length(b))).drop("ws", "line_x", "left", "height")
+    numbers = F.regexp_replace(bare, f"(?m)^{_NUMBER}$", "#")
+    numbers = F.when(n_words <= 3, F.regexp_replace(numbers, "(?m)^(?:[oilzsbgq]{1,3}|[ivxl]+)$", "#")).otherwise(numbers)
+    return F.regexp_replace(F.translate(numbers, seen.replace("#", ""), flat), "[^\\p{L}#\\n]", "")
+
+
+_NUMBER = "(?=[oilzsbgq]*[0-9])[0-9oilzsbgq]{1,4}"
+
+
+def with_pattern(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("pattern", F.replace(_pattern(_bare(F.col("ws")), F.size("ws")), F.lit("\n"), F.lit("")))
 
 
 def furniture_lines(lines: DataFrame) -> DataFrame:
@@ -369,74 +376,93 @@ def furniture_lines(lines: DataFrame) -> DataFrame:
 
     A header or footer is known by its recurrence: at the same place from the
     same end of half the document's pages, and three at least, a line begins or
-    ends with the same two words (both pages of two: with all of these pairs), or the line recurs as a whole, wherever it stands. A page number
-    advances with the page. Where most of a page recurs, as in forms, only lines
-    that stand apart from its margin count. What such lines look like (end of the page, place
+    ends with the same two words (both pages of two: with all of these pairs), or
+    the line recurs as a whole, wherever it stands. A page number advances with
+    the page. Where most lines recur, as in forms, only those that stand apart
+    from their margin count. What such lines look like (end of the page, place
     from there, shift from the margin, a number's pattern or not) is counted
     over the documents of three pages or more, and decides lines of documents
     that are too short to show a recurrence.
     """
-    page = ["document_id", "page_index", "source"]
-    pages = lines.groupBy("document_id").agg(F.countDistinct("page_index").alias("pages"), F.count("*").alias("size"))
-    edge = lines.where("side is not null")
-    half = lambda n: (F.col("pages") > 1) & (F.col(n) >= F.least(F.lit(3), F.col("pages"))) & (2 * F.col(n) >= F.col("pages"))
-    # pairs of words at the beginning and end of a line, each at its place
+    below = F.col("lines") - F.col("line") + 1
+    side = F.when((F.col("line") <= EDGE) & (F.col("line") <= below), "top").when(below <= EDGE, "bottom")
+    e = lines.select(*LINE, side.alias("side"), F.least(F.col("line"), below).alias("rank"), "shift", F.size("ws").alias("n"), _bare(F.col("ws")).alias("bare"))
+    edge = F.col("side").isNotNull()
+    # only the ends of a page are put out of focus
+    e = e.withColumn("parts", F.when(edge, _pattern(F.col("bare"), F.col("n"))))
+    e = e.withColumn("value", F.when(edge, F.translate(F.regexp_extract("bare", f"(?m)^({_NUMBER})$", 1), *_DIGITS).try_cast("int")))
+    e = e.withColumn("pattern", F.replace("parts", F.lit("\n"), F.lit(""))).withColumn("bones", F.filter(F.split("parts", "\n"), lambda b: (b != "#") & (b != "")))
     b = F.col("bones")
-    pair = lambda name, k: F.struct(F.lit(name).alias("spot"), F.concat_ws(" ", F.slice(b, k, F.lit(2))).alias("pair"))
-    spots = F.when(F.size(b) > 2, F.array(pair("start", F.lit(1)), pair("second", F.lit(2)), pair("end", F.size(b) - 1))).when(F.size(b) == 2, F.array(pair("start", F.lit(1))))
-    words = edge.select(*page, "line", "side", "rank", F.inline(spots))
-    place = ["document_id", "side", "rank", "spot", "pair"]
-    seen_on = words.groupBy(*place).agg(F.countDistinct("page_index").alias("on")).where("on > 1")
-    again = words.join(seen_on, place).join(pages, "document_id").where(half("on")).groupBy(*page, "line").agg(F.count("*").alias("recurring"))
-    # whole lines anywhere
-    whole = lines.where("letters > 0 and value is null").select("document_id", "page_index", "pattern").groupBy("document_id", "pattern").agg(F.countDistinct("page_index").alias("same"))
-    whole = whole.join(pages, "document_id").where(half("same") & (F.col("same") > 2)).select("document_id", "pattern", F.lit(True).alias("everywhere"))
-    # numbers that advance with the page
-    one_number = F.regexp_count("pattern", F.lit("#")).between(1, 2)
-    ahead = edge.where(one_number & F.col("value").isNotNull()).select("document_id", "side", "page_index", (F.col("value") - F.col("page_index")).alias("ahead"))
-    ahead = ahead.groupBy("document_id", "side", "ahead").agg(F.countDistinct("page_index").alias("n")).join(pages, "document_id").where(half("n")).select("document_id", "side", "ahead", F.lit(True).alias("advances"))
-
-    e = lines.withColumn("ahead", F.when(one_number, F.col("value") - F.col("page_index")))
-    e = e.join(pages, "document_id").join(again, [*page, "line"], "left").join(whole, ["document_id", "pattern"], "left").join(ahead, ["document_id", "side", "ahead"], "left")
-    e = e.where("side is not null or everywhere")
-    recurs = (F.col("pages") > 1) & (F.col("recurring") >= F.when(F.col("pages") > 2, 1).otherwise(3))
-    e = e.withColumn("advances", F.coalesce("advances", F.lit(False))).withColumn("recurs", F.coalesce(recurs, F.lit(False)) | F.coalesce("everywhere", F.lit(False)))
-    # where most lines of a document recur its pages are copies or forms: only what stands apart from their margin can be furniture
-    e = saved(e.select(*page, "line", "pattern", "side", "rank", "shift", "pages", "size", "advances", "recurs"), "edges")
-    copied = e.groupBy("document_id").agg((2 * F.count_if("recurs") > F.max("size")).alias("copied"))
-    e = e.join(copied, "document_id")
-    e = e.withColumn("recurs", F.col("recurs") & (~F.col("copied") | (F.col("shift") > 0)))
+    key = lambda spot, of: F.struct(F.lit(spot).alias("spot"), of.alias("key"))
+    none = F.array().cast("array<struct<spot:string,key:string>>")
+    pair = lambda name, k: key("pair", F.concat_ws(" ", "side", "rank", F.lit(name), F.slice(b, k, F.lit(2))))
+    numbered = F.regexp_count("pattern", F.lit("#")).between(1, 2) & F.col("value").isNotNull()
+    ahead = key("ahead", F.concat_ws(" ", "side", F.col("value") - F.col("page_index")))
+    whole = F.when(edge, F.array_join("bones", "")).otherwise(F.regexp_replace("bare", "[^\\p{L}]", ""))
+    keys = F.concat(
+        F.array(key("page", F.lit(""))),
+        F.when(F.size(b) > 2, F.array(pair("start", F.lit(1)), pair("second", F.lit(2)), pair("end", F.size(b) - 1))).when(F.size(b) == 2, F.array(pair("start", F.lit(1)))).otherwise(none),
+        F.when(numbered, F.array(ahead)).when(whole != "", F.array(key("whole", whole))).otherwise(none),
+    )
+    e = saved(e.select(*LINE, "side", "rank", "shift", "pattern", keys.alias("keys")), "edges")
+    rows = e.select(*LINE, F.inline("keys"))
+    # on how many pages of its document each key stands; "page" stands on all of them
+    seen_on = rows.groupBy("document_id", "spot", "key").agg(F.countDistinct("page_index").alias("on"))
+    found = rows.join(seen_on, ["document_id", "spot", "key"]).groupBy(*LINE).agg(F.collect_list(F.struct("spot", "on")).alias("seen"), F.max(F.when(F.col("spot") == "page", F.col("on"))).alias("pages"))
+    often = lambda x: (x["on"] > 1) & (x["on"] >= F.least(F.lit(3), F.col("pages"))) & (2 * x["on"] >= F.col("pages"))
+    number = lambda spot: F.size(F.filter("seen", lambda x: (x["spot"] == spot) & often(x)))
+    found = found.select(*LINE, "pages", number("pair").alias("n_pair"), (F.size(F.filter("seen", lambda x: (x["spot"] == "whole") & often(x) & (x["on"] > 2))) > 0).alias("again"), (number("ahead") > 0).alias("advances"))
+    e = e.drop("keys").join(found, LINE).where("side is not null or again")
+    e = e.withColumn("recurs", F.col("again") | (F.col("n_pair") >= F.when(F.col("pages") > 2, 1).otherwise(3)))
+    e = saved(e.select(*LINE, "pattern", "side", "rank", "shift", "pages", "advances", "recurs"), "evidence")
+    # where most lines at the ends of a document's pages recur its pages are copies or forms: only what stands apart from their margin can be furniture
+    copied = e.groupBy("document_id").agg((2 * F.count_if("recurs") > F.count("*")).alias("copied")).where("copied")
+    e = e.join(copied, "document_id", "left").withColumn("recurs", F.col("recurs") & (F.col("copied").isNull() | (F.col("shift") > 0)))
     # at most a thousand patterns hold a thousandth of the advancing lines
-    patterns = e.where("advances").groupBy("pattern").agg(F.count("*").alias("n"))
-    patterns = patterns.join(F.broadcast(patterns.agg(F.sum("n").alias("all"))), F.col("n") * 1000 >= F.col("all"))  # one row
-    patterns = patterns.agg(F.coalesce(F.collect_list("pattern"), F.array().cast("array<string>")).alias("patterns"))
+    patterns = [r.pattern for r in frequent_patterns(e.where("advances")).collect()]
+    known = F.array(*(F.lit(x) for x in patterns)).cast("array<string>")
     near = lambda p: (F.col("pattern") == p) | ((F.length(p) > 4) & (F.levenshtein("pattern", p, 1) >= 0))
-    e = e.join(F.broadcast(patterns)).withColumn("numbered", F.col("advances") | F.contains("pattern", F.lit("#")) & F.exists("patterns", near)).drop("patterns")
+    e = e.withColumn("numbered", F.col("advances") | F.contains("pattern", F.lit("#")) & F.exists(known, near))
     look = ["side", "rank", "shift", "numbered"]
     # a page number is furniture where it advances, another line where it recurs
     true = F.when(F.col("numbered"), F.col("advances")).otherwise(F.col("recurs"))
     looks = e.where("pages >= 3 and side is not null").groupBy(*look).agg(F.avg(true.cast("int")).alias("odds"))  # at most 72 rows
-    e = e.join(F.broadcast(looks), look, "left")
-    e = e.where(F.col("advances") | F.col("recurs") | (F.col("odds") >= 0.5))
-    return e.select(*page, "line", F.when(F.col("numbered"), "page_number").otherwise("header").alias("kind"))
+    e = e.join(F.broadcast(looks), look, "left").where(F.col("advances") | F.col("recurs") | (F.col("odds") >= 0.5))
+    return e.select(*LINE, F.when(F.col("numbered"), "page_number").otherwise("header").alias("kind"))
+
+
+def frequent_patterns(lines: DataFrame) -> DataFrame:
+    """The patterns that a thousandth of the lines have: at most a thousand."""
+    n = lines.groupBy("pattern").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), F.col("n") * 1000 >= F.col("all")).select("pattern")  # one row
 
 
 def layout(tokens: DataFrame) -> DataFrame:
-    """Per distinct token: kind (body, header, page_number), line, role 0 whole, 1 first half, 2 second half, and its mate."""
-    page = ["document_id", "page_index", "source"]
-    at = saved(placed(tokens), "placed")
-    kinds = furniture_lines(saved(page_lines(at), "page_lines"))
-    # a page has a few such lines
-    kinds = kinds.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("line", "kind"))).alias("kinds"))
-    t = at.select("token_id", *page, "at", "line", "y0", "text").join(kinds.hint("shuffle_hash"), page, "left")
-    order = Window.partitionBy(*page).orderBy("at")
-    t = t.withColumn("kind", F.coalesce(F.try_element_at("kinds", "line"), F.lit("body"))).drop("kinds")
-    t = t.withColumn("clean", F.regexp_replace("text", "\\p{Cf}", ""))
-    t = t.withColumn("after", F.lead("text").over(order)).withColumn("after_new", F.lead("line").over(order) != F.col("line")).withColumn("after_kind", F.lead("kind").over(order))
-    splits = (F.col("kind") == "body") & F.col("after_new") & (F.col("after_kind") == "body") & F.col("clean").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
-    t = t.withColumn("first", F.coalesce(splits, F.lit(False))).withColumn("before", F.lag("text").over(order)).withColumn("second", F.coalesce(F.lag("first").over(order), F.lit(False)))
-    role = F.when(F.col("first"), 1).when(F.col("second"), 2).otherwise(0)
-    return t.select("token_id", *page, "at", "line", "y0", "kind", "text", role.alias("role"), F.when(role == 1, F.col("after")).when(role == 2, F.col("before")).otherwise("").alias("mate"))
+    """The lines of all pages with their kind (body, header, page_number)."""
+    lines = saved(page_lines(tokens), "lines")
+    kinds = furniture_lines(lines)
+    return lines.select(*LINE, "y0", "ws").join(kinds, LINE, "left").withColumn("kind", F.coalesce("kind", F.lit("body")))
+
+
+def with_halves(lines: DataFrame) -> DataFrame:
+    """Lines with what a division at their ends needs: splits (the last word is a first half), next (its mate), open (the half before).
+
+    The last word of a body line that ends in a dividing mark and the first of the next body line are halves.
+    """
+    order = Window.partitionBy(*PAGE, F.col("kind") == "body").orderBy("line")
+    last = F.try_element_at("ws", F.lit(-1))["text"]
+    l = lines.withColumn("last", last).withColumn("next", F.lead(F.try_element_at("ws", F.lit(1))["text"]).over(order))
+    splits = (F.col("kind") == "body") & F.col("next").isNotNull() & F.regexp_replace("last", "\\p{Cf}", "").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
+    l = l.withColumn("splits", F.coalesce(splits, F.lit(False))).withColumn("open", F.lag(F.when(F.col("splits"), F.col("last"))).over(order))
+    return l.select(*LINE, "y0", "kind", "splits", "open", F.when(F.col("splits"), F.col("next")).alias("next"), "ws")
+
+
+def words_of(lines: DataFrame) -> DataFrame:
+    """Per word of `with_halves`: token_id, at, line, y0, kind, text, role (0 whole, 1 first half, 2 second half) and its mate."""
+    w = lines.select(*LINE, "y0", "kind", "splits", "open", "next", F.size("ws").alias("n"), F.posexplode("ws").alias("k", "w"))
+    first, second = F.col("splits") & (F.col("k") == F.col("n") - 1), F.col("open").isNotNull() & (F.col("k") == 0)
+    role = F.when(first, 1).when(second, 2).otherwise(0)
+    return w.select("w.token_id", *PAGE, "w.at", "line", "y0", "kind", "w.text", role.alias("role"), F.when(first, F.col("next")).when(second, F.col("open")).otherwise("").alias("mate"))
 
 
 def _keys(words: DataFrame) -> DataFrame:
@@ -533,85 +559,79 @@ class Pages:
     """
 
     def __init__(self, tokens: DataFrame, texts: DataFrame | None = None):
-        self.words = saved(layout(tokens), "words")
-        keyed = _keys(self.words).where("role < 2").select("a", "b", F.lit(1).alias("counted"))
-        self.text_words = None
+        lines = saved(with_halves(layout(tokens)), "halves")
+        self.words = words_of(lines).withColumn("src", F.lit("page"))
+        types = saved(_keys(self.words).where("role < 2").groupBy("a", "b").agg(F.count("*").alias("n")), "types")
+        counted = types
         if texts is not None:
-            patterns = [r.pattern for r in page_patterns(self.words).collect()]
-            self.text_words = saved(text_words(texts, header_wordings(self.words), patterns), "text-words")
-            keyed = keyed.unionByName(_keys(self.text_words).where("role < 2").select("a", "b", F.lit(0).alias("counted")))
-        types = saved(keyed.groupBy("a", "b").agg(F.sum("counted").alias("n")), "types")
-        self.counts = saved(word_counts(types), "counts")
+            patterns = [r.pattern for r in frequent_patterns(with_pattern(lines.where("kind = 'page_number'"))).collect()]
+            more = saved(with_halves(text_lines(texts, header_wordings(lines, types), patterns)), "text-halves")
+            more = words_of(more).withColumn("src", F.lit("text"))
+            self.words = self.words.unionByName(more)
+            types = saved(types.unionByName(_keys(more).where("role < 2").groupBy("a", "b").agg(F.lit(0).cast("bigint").alias("n"))).groupBy("a", "b").agg(F.sum("n").alias("n")), "all-types")
+        self.counts = saved(word_counts(counted), "counts")
         self.lexicon = lexicon(self.counts)
         self.judged = saved(judge(types, self.lexicon, self.counts), "judged")
         # spellings that are sound and frequent: what joins afterwards is the rest
         bad = self.judged.where("b = ''").select("a")
         self.sound = types.where("b = ''").orderBy(F.desc("n"), "a").limit(SPELLINGS).join(bad, "a", "left_anti").select("a")
 
-    def noise(self, words: DataFrame | None = None) -> DataFrame:
-        """token_id, at, noise, better of every noisy token."""
-        words = self.words if words is None else words
-        rest = _keys(words).select("token_id", "at", "role", "a", "b")
+    def noise(self) -> DataFrame:
+        """src (page or text), token_id, at, noise, better of every noisy token; token_id is the id of a text."""
+        key = ["src", "token_id", "at"]
+        rest = _keys(self.words).select(*key, "role", "a", "b")
         whole = rest.where("role = 0").join(F.broadcast(self.sound), "a", "left_anti")  # at most SPELLINGS rows
         marked = whole.unionByName(rest.where("role > 0")).join(self.judged, ["a", "b"])
         wrong = F.when(F.col("role") == 2, F.col("wrong_b")).otherwise(F.col("wrong_a"))
         kinds = F.array_compact(F.array(F.when(F.col("hyphen") & (F.col("role") == 1), F.lit("hyphen")), F.when(wrong, F.lit("misread"))))
-        body = marked.select("token_id", "at", F.explode(kinds).alias("noise"), "better")
-        edge = words.where("kind <> 'body'").select("token_id", "at", F.col("kind").alias("noise"), F.lit(None).cast("array<string>").alias("better"))
+        body = marked.select(*key, F.explode(kinds).alias("noise"), "better")
+        edge = self.words.where("kind <> 'body'").select(*key, F.col("kind").alias("noise"), F.lit(None).cast("array<string>").alias("better"))
         return body.unionByName(edge)
 
     def found(self) -> DataFrame:
-        """token_id and noise of every noisy token, distinct."""
-        return self.noise().select("token_id", "noise").distinct()
-
-    def texts_found(self) -> DataFrame:
-        """row_id and noise of every noise that a text without boxes holds, distinct."""
-        return self.noise(self.text_words).select(F.col("token_id").alias("row_id"), "noise").distinct()
+        """src, row_id (token or text) and noise, distinct."""
+        return self.noise().select("src", F.col("token_id").alias("row_id"), "noise").distinct()
 
-    def paragraphs(self, words: DataFrame | None = None) -> DataFrame:
-        """document_id, page_index, source, paragraph, text: the repaired pages in continuous paragraphs.
+    def paragraphs(self) -> DataFrame:
+        """src, document_id, page_index, source, paragraph, text: the repaired pages and texts in continuous paragraphs.
 
         A new paragraph begins where the distance between lines is clearly
-        larger than the page's usual one, or after a blank line of a text. A
-        page has a bounded number of tokens.
+        larger than the page's usual one, or after a blank line of a text, but
+        not within an open sentence. A page has a bounded number of tokens. Of
+        texts, document_id is the id.
         """
-        words = self.words if words is None else words
         pairs = self._bigrams()
-        fixes = self.noise(words).where("noise <> 'header' and noise <> 'page_number'").groupBy("token_id", "at").agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
-        page = ["document_id", "page_index", "source"]
+        words, key = self.words, ["src", "token_id", "at"]
+        fixes = self.noise().where("noise <> 'header' and noise <> 'page_number'").groupBy(*key).agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
+        page = ["src", *PAGE]
         order = Window.partitionBy(*page).orderBy("at")
         # what stands before and after the word, of halves the joined one
         before = F.when(F.col("role") == 2, F.lag("text", 2).over(order)).otherwise(F.lag("text").over(order))
         after = F.when(F.col("role") == 1, F.lead("text", 2).over(order)).otherwise(F.lead("text").over(order))
         body = words.where("kind = 'body'").withColumn("before", F.lower(before)).withColumn("after", F.lower(after))
-        body = body.join(fixes, ["token_id", "at"], "left")
-        wrong = body.where("size(better) > 1").select("token_id", "at", "before", "after", F.posexplode("better").alias("rank", "word"))
+        body = body.join(fixes, key, "left")
+        wrong = body.where("size(better) > 1").select(*key, "before", "after", F.posexplode("better").alias("rank", "word"))
         # only the few pairs that are asked for are looked up in the table of all pairs
         asked = wrong.select(F.col("before").alias("x"), F.col("word").alias("y")).unionByName(wrong.select(F.col("word").alias("x"), F.col("after").alias("y"))).distinct()
         pairs = asked.join(pairs, ["x", "y"])
         left = wrong.join(pairs.select(F.col("x").alias("before"), F.col("y").alias("word"), F.col("n").alias("n1")), ["before", "word"], "left")
         both = left.join(pairs.select(F.col("x").alias("word"), F.col("y").alias("after"), F.col("n").alias("n2")), ["word", "after"], "left")
         best = F.max_by("word", F.struct(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)), -F.col("rank")))
-        chosen = both.groupBy("token_id", "at").agg(best.alias("chosen"))
-        # few tokens are noisy: their repair comes to the page as a map, not by another join of all words
-        parts = body.join(chosen, ["token_id", "at"], "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
+        chosen = both.groupBy(*key).agg(best.alias("chosen"))
+        parts = body.join(chosen, key, "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
         pages = parts.groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("words"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                out = [(r.document_id, r.page_index, r.source, n, text) for r in pdf.itertuples() for n, text in enumerate(reflow(list(r.words)))]
+                out = [(r.src, r.document_id, r.page_index, r.source, n, text) for r in pdf.itertuples() for n, text in enumerate(reflow(list(r.words)))]
                 yield pd.DataFrame(out, columns=[*page, "paragraph", "text"])
 
-        return pages.mapInPandas(run, "document_id string, page_index int, source string, paragraph int, text string")
-
-    def text_paragraphs(self) -> DataFrame:
-        """The same of the texts without boxes: document_id is the text's id, page_index 0."""
-        return self.paragraphs(self.text_words)
+        return pages.mapInPandas(run, "src string, document_id string, page_index int, source string, paragraph int, text string")
 
     def _bigrams(self) -> DataFrame:
-        """All pairs of adjacent words, lower case, with their number."""
-        order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
-        w = self.words.where("kind = 'body'").select(F.lower("text").alias("x"), F.lower(F.lead("text").over(order)).alias("y"))
+        """All pairs of adjacent words of pages, lower case, with their number."""
+        order = Window.partitionBy(*PAGE).orderBy("at")
+        w = self.words.where("kind = 'body' and src = 'page'").select(F.lower("text").alias("x"), F.lower(F.lead("text").over(order)).alias("y"))
         return w.where("y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
@@ -697,12 +717,25 @@ _STRICT = re.compile(r"(?=.*[0-9])[0-9oilzsbgq]{1,4}")
 _SIGNED = re.compile(r"\s*[-–—|]\s*\S+\s*[-–—|]\s*")
 
 
+@functools.lru_cache(1 << 16)
+def _folded(word: str) -> str:
+    return fold(word)
+
+
+@functools.lru_cache(1 << 16)
 def _bone(word: str) -> str:
     return re.sub(r"[\W\d_]+", "", blurred(word.lower()))
 
 
 def _distance_at_most(a: str, b: str, k: int) -> bool:
-    if abs(len(a) - len(b)) > k:
+    if a == b:
+        return True
+    # what both begin and end with doesn't count, and letters that only one has must be edited
+    n = len(commonprefix((a, b)))
+    a, b = a[n:], b[n:]
+    n = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if abs(len(a) - len(b)) > k or max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) > k:
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -717,16 +750,22 @@ def _distance_at_most(a: str, b: str, k: int) -> bool:
 
 def line_pattern(line: str) -> tuple[str, int | None]:
     """A folded line's words out of focus with its numbers as #, and its first number: the pattern of `page_lines`."""
-    out, values = [], []
-    words = line.lower().split()
+    out, first = [], None
+    words = line.split()
     for w in words:
-        bare = re.sub(r"[\W_]+", "", w)
-        if _STRICT.fullmatch(bare):
-            out.append("#")
-            values.append(int(bare.translate(_TO_DIGIT)))
-        else:
-            out.append("#" if len(words) <= 3 and _LOOSE.fullmatch(bare) else _bone(w))
-    return "".join(out), values[0] if values else None
+        part, value = _part(w, len(words) <= 3)
+        out.append(part)
+        first = value if first is None else first
+    return "".join(out), first
+
+
+@functools.lru_cache(1 << 16)
+def _part(word: str, loose: bool) -> tuple[str, int | None]:
+    """A word out of focus, or # and the number it may be."""
+    bare = re.sub(r"[\W_]+", "", word.lower())
+    if _STRICT.fullmatch(bare):
+        return "#", int(bare.translate(_TO_DIGIT))
+    return ("#", None) if loose and _LOOSE.fullmatch(bare) else (_bone(word), None)
 
 
 def furniture(lines: list[str], worded: set[int], patterns: frozenset[str]) -> dict[int, str]:
@@ -768,11 +807,12 @@ def furniture(lines: list[str], worded: set[int], patterns: frozenset[str]) -> d
     near = lambda i: [full[place[i] + d] for d in (-1, 1) if 0 <= place[i] + d < len(full)]
     follower = {i: lines[j].split()[:2] for i, j in zip(full, full[1:])}
     last: dict[tuple, int] = {}
+    whole: dict[int, str] = {}
     for i in full:
         if i in out or i in bare or closed.search(lines[i]):
             continue
         words = [b for w in lines[i].split() if (b := _bone(w))]
-        bones = "".join(words)
+        bones = whole[i] = "".join(words)
         if not bones or (len(bones) < 5 and i not in (full[0], full[-1]) and not any(out.get(j) == "page_number" for j in near(i))):
             continue
         k = max(1, len(bones) // 6)
@@ -783,7 +823,7 @@ def furniture(lines: list[str], worded: set[int], patterns: frozenset[str]) -> d
                 continue
             # a repeated sentence goes on alike, below a running header the text differs
             alike = i in follower and j in follower and follower[i] == follower[j] and i not in worded
-            if not alike and _distance_at_most(bones, "".join(b for w in lines[j].split() if (b := _bone(w))), k):
+            if not alike and _distance_at_most(bones, whole[j], k):
                 out[i] = out[j] = "header"
     numbers = [i for i in bare if value[i] is not None]
     runs = {x for a, b in zip(numbers, numbers[1:]) if 0 < value[b] - value[a] <= 3 for x in (a, b)}
@@ -804,75 +844,44 @@ def _wording(text: Column) -> Column:
     return F.when(low.rlike("[0-9]"), "#").otherwise(F.translate(low, seen, flat))
 
 
-def header_wordings(words: DataFrame) -> DataFrame:
-    """x, y: pairs of adjacent words that headers hold far more often than text does."""
-    order = Window.partitionBy("document_id", "page_index", "source").orderBy("at")
-    w = words.where("kind <> 'page_number'").withColumn("x", _wording(F.col("text"))).withColumn("k", F.struct("kind", "line"))
-    w = w.withColumn("y", F.lead("x").over(order)).withColumn("k2", F.lead("k").over(order)).where("k = k2 and x <> '#'")
-    header = F.col("kind") == "header"
-    pair = w.groupBy("x", "y").agg(F.count_if(header).alias("h"), F.count_if(~header).alias("b"))
-    return pair.where("h > 3 * b + 1").select("x", "y")
+def header_wordings(lines: DataFrame, types: DataFrame) -> DataFrame:
+    """x: words that headers hold far more often than text does; types are the distinct words of pages with their numbers."""
+    header = lines.where("kind = 'header'").select(F.explode(F.transform("ws", lambda w: w["text"])).alias("a")).groupBy("a").agg(F.count("*").alias("h"), F.lit(0).cast("bigint").alias("b"))
+    body = types.where("b = ''").select("a", F.lit(0).cast("bigint").alias("h"), F.col("n").alias("b"))
+    n = header.unionByName(body).groupBy(_wording(F.col("a")).alias("x")).agg(F.sum("h").alias("h"), F.sum("b").alias("b"))
+    return n.where("h > 3 * b + 1 and x <> '#' and x <> ''").select("x")
 
 
-def page_patterns(words: DataFrame) -> DataFrame:
-    """pattern: those of page number lines that a thousandth of these lines have, so at most a thousand."""
-    lines = page_lines(words.where("kind = 'page_number'").select("document_id", "page_index", "source", "line", "at", "text", F.lit(1).alias("lines"), F.lit(0.0).alias("line_x"), F.lit(0.0).alias("left"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1")))
-    n = lines.groupBy("pattern").agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), F.col("n") * 1000 >= F.col("all")).select("pattern")  # one row
-
+def text_lines(texts: DataFrame, wordings: DataFrame, patterns: list[str]) -> DataFrame:
+    """The lines of texts that come without boxes, in the form of `layout`: token_id is the text's id.
 
-def text_words(texts: DataFrame, wordings: DataFrame, patterns: list[str]) -> DataFrame:
-    """The words of texts that come without boxes, in the form of `layout`: token_id is the text's id, at tells its words apart.
-
-    texts has id and text. A furniture line is one row with its kind. Lines that
-    may be headers (at an end, or beside a line with few letters and a number)
-    learn from a join with the wordings whether they have the wording of headers.
+    texts has id and text. Lines that may be headers (at an end, or beside a
+    line with few letters and a number) learn from a join with the wordings
+    whether they have the wording of headers. y0 numbers the lines that are left
+    without furniture, blank ones too.
     """
     t = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), "text").distinct()
-    lines = t.select("id", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda l: F.trim(l["x"]) != "")).alias("n", "l"), F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("all"))
-    few = (F.length(F.regexp_replace("l.x", "[^\\p{L}]", "")) <= 24) & F.col("l.x").rlike("[0-9]|^\\W*\\w{1,4}\\W*$")
-    order = Window.partitionBy("id").orderBy("n")
-    lines = lines.withColumn("few", few).withColumn("beside", F.coalesce(F.lag("few").over(order), F.lit(False)) | F.coalesce(F.lead("few").over(order), F.lit(False)))
-    maybe = lines.where((F.col("n") == 0) | (F.col("n") == F.col("all") - 1) | F.col("beside")).select("id", "l.i", F.filter(F.split("l.x", "\\s+"), lambda w: w != "").alias("ws"))
-    w = F.transform("ws", _wording)
-    pairs = maybe.select("id", "i", w.alias("ws")).where("size(ws) > 1").select("id", "i", F.explode(F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("x"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("y"))).alias("p"))
-    known = pairs.select("id", "i", "p.x", "p.y").join(wordings, ["x", "y"]).groupBy("id").agg(F.collect_set("i").alias("worded"))
-    rows = t.join(known, "id", "left")
+    full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda l: F.trim(l["x"]) != "")
+    few = lambda l: (F.length(F.regexp_replace(l["x"], "[^\\p{L}]", "")) <= 24) & l["x"].rlike("[0-9]|^\\W*\\w{1,4}\\W*$") & ~l["x"].rlike("[.;,]\\s*$")
+    lines = t.select("id", full.alias("ls")).where("size(ls) > 0").withColumn("few", F.transform("ls", few))
+    beside = lambda _, i: (i == 0) | (i == F.size("ls") - 1) | F.try_element_at("few", i).eqNullSafe(F.lit(True)) | F.try_element_at("few", i + 2).eqNullSafe(F.lit(True))
+    maybe = lines.select("id", F.explode(F.filter("ls", beside)).alias("l")).select("id", "l.i", F.filter(F.split("l.x", "\\s+"), lambda w: w != "").alias("ws"))
+    known = maybe.select("id", "i", F.explode("ws").alias("w")).select("id", "i", _wording(F.col("w")).alias("x")).join(wordings, "x").groupBy("id").agg(F.collect_set("i").alias("worded"))
     known_patterns = frozenset(patterns)
-    names = ["token_id", "at", "line", "y0", "kind", "text", "role", "mate"]
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for i, text, worded in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                out += [(i, *w) for w in lines_to_words(text, set(worded or ()), known_patterns)]
-            cols = list(zip(*out)) or [()] * len(names)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    words = rows.select("id", "text", "worded").mapInArrow(run, "token_id bigint, at int, line int, y0 double, kind string, text string, role int, mate string")
-    return words.select("token_id", F.col("token_id").cast("string").alias("document_id"), F.lit(0).alias("page_index"), F.lit("text").alias("source"), "at", "line", "y0", "kind", "text", "role", "mate")
-
-
-def lines_to_words(text: str, worded: set[int], patterns: frozenset[str]) -> Iterator[tuple[int, int, float, str, str, int, str]]:
-    """at, line, height on the page (blank lines count twice), kind, text, role and mate of a text's words; a furniture line is one word."""
-    lines = text.split("\n")
-    edge = furniture([fold(x) for x in lines], worded, patterns)
-    body = [(i, ws) for i, x in enumerate(lines) if i not in edge and (ws := x.split())]
-    at, half = 0, None
-    taken = sorted(edge)
-    for n, (i, ws) in enumerate(body):
-        height = float(i - bisect_left(taken, i))  # as if furniture lines weren't there
-        follower = body[n + 1][1][0] if n + 1 < len(body) else None
-        for k, w in enumerate(ws):
-            if half is not None and k == 0:
-                role, mate, half = 2, half, None
-            elif k == len(ws) - 1 and follower is not None and re.search(rf"[^\W_][{MARKS}]$", fold(w)):
-                role, mate, half = 1, follower, w
-            else:
-                role, mate = 0, ""
-            yield at, i, height, "body", w, role, mate
-            at += 1
-    for i, kind in edge.items():
-        yield at, i, float(i), kind, lines[i], 0, ""
-        at += 1
+            out = []
+            for text, worded in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                lines = [" ".join(map(_folded, x.split())) for x in text.split("\n")]
+                out.append([{"i": i, "kind": k} for i, k in sorted(furniture(lines, set(worded or ()), known_patterns).items())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "text", "kinds"])
+
+    edges = t.join(known, "id", "left").select("id", "text", "worded").mapInArrow(run, "id bigint, text string, kinds array<struct<i:int,kind:string>>")
+    l = edges.select("id", "kinds", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    l = l.withColumn("kind", F.coalesce(F.try_element_at(F.filter("kinds", lambda k: k["i"] == F.col("line")), F.lit(1))["kind"], F.lit("body")))
+    y0 = F.col("line") - F.size(F.filter("kinds", lambda k: k["i"] < F.col("line")))
+    ws = F.transform(F.filter(F.split("x", "\\s+"), lambda w: w != ""), lambda w, k: F.struct((F.col("line").cast("bigint") * (1 << 31) + k).alias("at"), F.col("id").alias("token_id"), w.alias("text")))
+    l = l.select(F.col("id").cast("string").alias("document_id"), F.lit(0).alias("page_index"), F.lit("text").alias("source"), "line", y0.cast("double").alias("y0"), ws.alias("ws"), "kind")
+    return l.where("size(ws) > 0")

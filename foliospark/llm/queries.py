@@ -14,17 +14,17 @@ def _pages(spark: SparkSession, sf_dir: str) -> ocr.Pages:
     return ocr.Pages(table(spark, sf_dir, "ocr_tokens"), texts)
 
 
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("src", F.when(F.col("src") == "page", "ocr_tokens").otherwise("ocr_unbundle"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _pages(spark, sf_dir)
-    tokens = pages.found().select(F.lit("ocr_tokens").alias("src"), F.col("token_id").alias("row_id"), "noise")
-    return tokens.unionByName(pages.texts_found().select(F.lit("ocr_unbundle").alias("src"), "row_id", "noise"))
+    return _named(_pages(spark, sf_dir).found())
 
 
 def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repaired pages and texts without boxes in continuous paragraphs."""
-    pages = _pages(spark, sf_dir)
-    of = lambda df, src: df.select(F.lit(src).alias("src"), *df.columns)
-    return of(pages.paragraphs(), "ocr_tokens").unionByName(of(pages.text_paragraphs(), "ocr_unbundle"))
+    return _named(_pages(spark, sf_dir).paragraphs())
 
 
 def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

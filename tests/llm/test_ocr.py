@@ -62,7 +62,7 @@ def test_noise_and_paragraphs(spark):
     pages = O.Pages(df)
     text = {r[0]: r[5] for r in rows}
     on = {r[0]: r[2] for r in rows}
-    got = [(on[r.token_id], text[r.token_id], r.noise) for r in pages.found().collect()]
+    got = [(on[r.row_id], text[r.row_id], r.noise) for r in pages.found().collect()]
     assert sorted(x for x in got if x[0] == 7) == sorted([(7, w, "header") for w in ("Kelmora", "Registry", "bound", "volume")] + [(7, "Page", "page_number"), (7, "8", "page_number"), (7, "tbe", "misread"), (7, "insp^ection", "misread"), (7, "excep-", "hyphen"), (7, "buildinq", "misread")])
     assert not [x for x in got if x[0] != 7 and x[2] not in ("header", "page_number")]
     seven = [r.text for r in pages.paragraphs().where("page_index = 7").collect()]
@@ -93,7 +93,7 @@ def test_lines_without_boxes():
 def noise_of(spark, texts, tokens=None):
     pages = O.Pages(spark.createDataFrame(tokens if tokens is not None else corpus(), SCHEMA), spark.createDataFrame(texts, "id bigint, text string"))
     got = {}
-    for r in pages.texts_found().collect():
+    for r in pages.found().where("src = 'text'").collect():
         got.setdefault(r.row_id, set()).add(r.noise)
     return got, pages
 
@@ -103,7 +103,7 @@ def test_texts_without_boxes_share_the_judgement(spark):
     got, pages = noise_of(spark, texts)
     assert got == {1: {"hyphen"}, 2: {"misread"}, 5: {"header", "page_number"}}
     text = {}
-    for r in pages.text_paragraphs().orderBy("document_id", "paragraph").collect():
+    for r in pages.paragraphs().where("src = 'text'").orderBy("document_id", "paragraph").collect():
         text.setdefault(r.document_id, []).append(r.text)
     assert text == {"1": ["the second inspection of the exceptional board was closed"], "2": ["the second inspection was closed the building"], "5": ["the board was closed again"]}
 
@@ -116,7 +116,7 @@ def test_headers_at_the_left_margin_are_found_by_recurrence(spark):
         rows += page("d", p, [(90.0, "Kelmora Registry volume"), *body, (90.0, f"{p + 3}")], start=n)
         n = len(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.token_id: r.noise for r in O.Pages(df).found().where("noise in ('header', 'page_number')").collect()}
+    got = {r.row_id: r.noise for r in O.Pages(df).found().where("noise in ('header', 'page_number')").collect()}
     want = {r[0]: "header" for r in rows if r[5] in ("Kelmora", "Registry", "volume")} | {r[0]: "page_number" for r in rows if r[5].isdigit()}
     assert got == want
 
@@ -145,7 +145,7 @@ def test_rare_word_below_the_vocabulary_keeps_its_own_count(spark, monkeypatch):
     pages = O.Pages(spark.createDataFrame(rows, SCHEMA))
     assert "dolmor" not in pages.lexicon.counts and "dolmar" in pages.lexicon.counts
     text = {r[0]: r[5] for r in rows}
-    assert "dolmor" not in {text[r.token_id] for r in pages.found().where("noise = 'misread'").collect()}
+    assert "dolmor" not in {text[r.row_id] for r in pages.found().where("noise = 'misread'").collect()}
     got, _ = noise_of(spark, [(1, "the dolmor was closed"), (2, "the dolmcr was closed")], rows)
     assert got == {2: {"misread"}}
 
