@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import drift, nested
-from foliospark.session import checkpoint, scratch, table
+from foliospark.session import saved, scratch, table
 
 
 def _tagged(spark: SparkSession, sf_dir: str, with_payload: bool) -> DataFrame:
@@ -52,8 +52,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs of all feeds in one table with one column per setting."""
     runs = table(spark, sf_dir, "run_files")
-    changes = checkpoint(drift.edit_scripts(runs))
-    return drift.unified(runs, *drift.projections(changes, drift.file_schemas(drift.flatten(runs))))
+    flat = saved(drift.flatten(runs), "leaves")
+    return drift.unified(runs, *drift.projections(saved(drift.edit_scripts(runs, flat), "changes"), drift.file_schemas(flat)))
 
 
 QUERIES = {"p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p5_runs": p5_runs} | {f"p4_table_{tag}": _flat(tag) for tag in nested.SCHEMAS}
