@@ -76,15 +76,21 @@ class Mix:
         sized = sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"))
         self.sized = checkpoint(sized.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2**62))).withColumn("bin", F.expr(f"cast(h div {2**62 // BINS} as int)")))
         self.size = dict.fromkeys(self.weights, 0) | {r.source: int(r.n) for r in self.sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-        caps = {s: float(self.size[s] * repeats[s]) for s in self.weights}
+        self.repeats = repeats
+        self.replan(total_tokens)
+
+    def replan(self, total_tokens: float | None = None) -> Mix:
+        """Plan for another budget; documents keep their sizes."""
+        caps = {s: float(self.size[s] * self.repeats[s]) for s in self.weights}
         self.total = feasible_total(self.weights, caps) if total_tokens is None else float(total_tokens)
         amount = water_fill(self.total, self.weights, caps)
         plan = []
         for s, a in amount.items():
             epochs = a / self.size[s] if self.size[s] else 0.0
-            whole = min(repeats[s], int(epochs + 1e-9))
-            plan.append((s, whole, max(0.0, a - whole * self.size[s]) if whole < repeats[s] else 0.0))
-        self.plan = spark.createDataFrame(plan, "source string, whole int, part double")
+            whole = min(self.repeats[s], int(epochs + 1e-9))
+            plan.append((s, whole, max(0.0, a - whole * self.size[s]) if whole < self.repeats[s] else 0.0))
+        self.plan = self.sized.sparkSession.createDataFrame(plan, "source string, whole int, part double")
+        return self
 
     def documents(self) -> DataFrame:
         """doc_id, source, n_tokens, copies of every document that is used."""

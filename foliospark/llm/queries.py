@@ -71,10 +71,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares for a budget of as many tokens as all target sources hold, where caps bind."""
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")
-    names = F.broadcast(targets.select("source").distinct().limit(mixing.MAX_SOURCES))
-    total = encode.token_counts(docs.select("source", "text").join(names, "source", "left_semi"), ["source"], "text").agg(F.sum("n_tokens")).first()[0]
-    return mixing.Mix(docs, targets, total_tokens=float(total or 0)).report()
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+    return mix.replan(float(sum(mix.size.values()))).report()
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +88,10 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_documents": p1_documents, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
+def p8_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well held-out labels are met, per language."""
+    return moderation.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "moderation_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p1_documents": p1_documents, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_held_out": p8_held_out, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_restored": p3_restored, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_budget_report": p7_budget_report}
 SQL: dict[str, str] = {}
