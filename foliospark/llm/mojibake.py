@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import functools
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +30,6 @@ from pyspark.sql import DataFrame
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "mac_roman", "cp850", "cp866", "koi8_r", "cp1258", "cp1254", "cp1253", "cp1257", "iso8859_2", "iso8859_15", "iso8859_5", "cp852", "mac_cyrillic")
 DOUBLE = ("gb18030", "big5", "shift_jis", "euc_kr")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
-ROUNDS = 3
 # The letters of Russian by falling frequency (fixed value).
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 # Well-formed multibyte sequences of UTF-8, over characters that stand for bytes.
@@ -46,6 +44,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?:[^.!?。\n]|[.!?](?!\s))+")
 FILLED = 0.6  # share of the high characters of a garbled sentence that its spans hold at least
 _LOST = re.compile("�")
+_CONTROL = re.compile("[\x80-\x9f\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd]")  # control and private characters
 
 
 @functools.cache
@@ -129,16 +128,26 @@ def _double(text: str, codec: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join([*out, text[last:]]), spans
 
 
-_RANK = {c: 1 - i / len(RUSSIAN) for i, c in enumerate(RUSSIAN)}
+class _Ranks(dict):
+    """Score of a letter: high for frequent ones of Russian, low for any other character."""
+
+    def __missing__(self, c: str) -> float:
+        return -0.5
+
+
+_RANK = _Ranks({c: 1 - i / len(RUSSIAN) for i, c in enumerate(RUSSIAN)})
 
 
 def russian(words: list[str]) -> float:
     """How Russian words look, by letter frequency; capitals inside a word count against it."""
     score = n = 0.0
     for w in words:
-        for i, c in enumerate(w):
-            n += 1
-            score += _RANK.get(c, _RANK.get(c.lower(), -0.5) if i == 0 or w.isupper() else -0.5)
+        n += len(w)
+        if w.isupper():
+            w = w.lower()
+        elif not w.islower():
+            w = w[0].lower() + w[1:]
+        score += sum(map(_RANK.__getitem__, w))
     return score / n if n else 0.0
 
 
@@ -165,14 +174,20 @@ def _cyrillic(text: str) -> tuple[str, bool]:
     return "\n".join(lines), changed
 
 
-def _transcode(line: str, seen: str, meant: str) -> str:
-    out = []
-    for c in line:
+@functools.cache
+def _recoding(seen: str, meant: str) -> dict[int, str]:
+    """Characters of one single-byte encoding to those that their bytes are in another."""
+    table = {}
+    for b in range(128, 256):
         try:
-            out.append(c if c.isascii() else c.encode(seen).decode(meant))
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            out.append(c)
-    return "".join(out)
+            table[ord(bytes([b]).decode(seen))] = bytes([b]).decode(meant)
+        except UnicodeDecodeError:
+            pass
+    return table
+
+
+def _transcode(line: str, seen: str, meant: str) -> str:
+    return line.translate(_recoding(seen, meant))
 
 
 def _hanzi(text: str) -> tuple[str, bool]:
@@ -203,7 +218,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     if not text or text.isascii():
         return False, text
     affected, now = False, text
-    for _ in range(ROUNDS if _PAIR.search(text) else 0):
+    while _PAIR.search(now):  # every round makes the text shorter
         options = [(*decode_spans(now, c), c) for c in SINGLE if _begins(c).search(now)] or [(now, 0, [], "")]
         best = max(options, key=lambda o: o[1])
         if not best[1]:
@@ -233,7 +248,7 @@ def _unrestorable(text: str) -> bool:
     for m in _LOST.finditer(text):
         if text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum() or text[m.end() : m.end() + 1] == "�":
             return True
-    if any("\x80" <= c <= "\x9f" or unicodedata.category(c) == "Co" for c in text):
+    if _CONTROL.search(text):
         return True
     return len(_MIXED.findall(text)) >= 2
 

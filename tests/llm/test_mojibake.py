@@ -46,3 +46,14 @@ def test_found(spark):
     df = spark.createDataFrame([(1, TEXTS[0].encode().decode("latin-1"), 0), (1, TEXTS[0].encode().decode("latin-1"), 0), (2, TEXTS[0], 0), (3, None, 0)], "page_input_id bigint, text string, affected int")
     assert [r[0] for r in M.found(df).collect()] == [1]
     assert M.found(df.limit(0)).count() == 0
+
+
+def test_any_number_of_rounds():
+    from foliospark.llm.mojibake import repair
+
+    text = "Điểm này được kiểm tra tại phòng mười hai"
+    for rounds in range(1, 7):
+        bad = text
+        for _ in range(rounds):
+            bad = bad.encode().decode("latin-1")
+        assert repair(bad) == (True, text)
