@@ -94,6 +94,44 @@ def flipped(b: Box, page_height: Column, scale: Column) -> Box:
     return Box(F.least(xa, xb), F.least(ya, yb), F.greatest(xa, xb), F.greatest(ya, yb))
 
 
+def mostly_inside(inner: Box, outer: Box, share: float = 0.7) -> Column:
+    return containment(inner, outer) >= share
+
+
+def area_fraction(b: Box, width: Column, height: Column) -> Column:
+    return F.try_divide(b.area(), width * height)
+
+
+def aspect(b: Box) -> Column:
+    """Width over height; NULL for a flat box."""
+    return F.try_divide(b.x1 - b.x0, b.y1 - b.y0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.try_divide(100 * part, whole)
+
+
+def overlay(b: Box, width: Column, height: Column) -> Column:
+    """Place and size of a box in percent of its page, as a style."""
+    return F.format_string("left:%.3f%%;top:%.3f%%;width:%.3f%%;height:%.3f%%", percent(b.x0, width), percent(b.y0, height), percent(b.x1 - b.x0, width), percent(b.y1 - b.y0, height))
+
+
+def absolute(b: Box, width: Column, height: Column) -> Box:
+    """A box given in shares of the page, in its units."""
+    return Box(b.x0 * width, b.y0 * height, b.x1 * width, b.y1 * height)
+
+
+def verdict(box: Column) -> Column:
+    """ok, or what is wrong with an array of numbers as a box."""
+    odd = F.exists(box, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.when(box.isNull(), "missing").when(F.size(box) != 4, "size").when(odd, "not_finite").when((box[0] > box[2]) | (box[1] > box[3]), "unordered").otherwise("ok")
+
+
+def strict(box: Column) -> Column:
+    """The box of an array of numbers as a struct, or NULL."""
+    return F.when(verdict(box) == "ok", F.struct(*(F.get(box, F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1")))))
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     """95 % interval of a share as a struct; NULL without cases."""
     p = hits / n
