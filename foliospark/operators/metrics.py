@@ -165,3 +165,49 @@ def key_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Delta per key that both runs have."""
     return a.select(*keys, F.col(value).alias("base")).join(b.select(*keys, F.col(value).alias("cand")), keys).withColumn("delta", F.col("cand") - F.col("base"))
+
+
+def document_stats(elements: DataFrame, keys: list[str], page: str, text: str, confidence: str, kind: str, kinds: list[str]) -> DataFrame:
+    """Pages, elements, elements of each kind, characters and mean confidence; a NULL text has no characters, a NULL confidence doesn't count."""
+    of = [F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds]
+    return elements.groupBy(*keys).agg(F.countDistinct(page).alias("num_pages"), F.count("*").alias("num_elements"), F.sum(F.coalesce(F.length(text), F.lit(0))).alias("total_text_chars"), F.avg(confidence).alias("mean_confidence"), *of)
+
+
+def paired_readings(df: DataFrame, keys: list[str], reading: str, place: str, value: str) -> DataFrame:
+    """Every two readings of the same page, by position: common places and equal values. A page has a few readings."""
+    a = df.select(*keys, place, F.col(reading).alias("first"), F.col(value).alias("_a"))
+    b = df.select(*keys, place, F.col(reading).alias("second"), F.col(value).alias("_b"))
+    j = a.join(b, [*keys, place]).where(F.col("first") < F.col("second"))
+    return j.groupBy(*keys, "first", "second").agg(F.count("*").alias("n_places"), F.count_if(F.col("_a") == F.col("_b")).alias("n_equal"))
+
+
+def summary(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Number, mean, median and tenth percentile by nearest rank, worst, perfect and zero scores."""
+    g = df.groupBy(*keys).agg(F.count(score).alias("n"), exact_mean(score).alias("mean"), F.min(score).alias("worst"), F.count_if(F.col(score) == 1).alias("perfect"), F.count_if(F.col(score) == 0).alias("zero"))
+    at = order_statistics(df, keys, score, {"p50": nearest_rank(0.5), "p10": nearest_rank(0.1)})
+    return g.alias("g").join(at.alias("a"), _same("g", "a", keys)).select("g.*", "a.p50", "a.p10")
+
+
+def gate(df: DataFrame, keys: list[str], truth: Column, flagged: Column) -> DataFrame:
+    """Hits, false alarms and misses of a gate, with precision, recall and the share of clean cases flagged; NULL without cases."""
+    g = df.groupBy(*keys).agg(F.count_if(truth & flagged).alias("tp"), F.count_if(~truth & flagged).alias("fp"), F.count_if(truth & ~flagged).alias("fn"), F.count_if(~truth).alias("clean"))
+    return g.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "false_alarm": F.try_divide("fp", "clean")})
+
+
+def until_budget(df: DataFrame, keys: list[str], order: list[str], amount: str, most: float) -> DataFrame:
+    """Rows with the running sum of their group (used), and whether it is still within the budget (accepted); amounts are not negative."""
+    used = F.sum(amount).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("used", used).withColumn("accepted", F.col("used") <= most)
+
+
+def paced(df: DataFrame, host: str, ready: str, tie: str, delay: int) -> DataFrame:
+    """start: when each request may begin, one delay after the one before it of its host at the earliest.
+
+    The start of the k-th request is the latest of all ready times before it plus
+    the delays since, so a running maximum of ready - k * delay gives it at once.
+    """
+    order = Window.partitionBy(host).orderBy(ready, tie)
+    k = F.row_number().over(order) - 1
+    df = df.withColumn("_k", k)
+    latest = F.max(F.col(ready) - F.col("_k") * delay).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("start", latest + F.col("_k") * delay).drop("_k")
