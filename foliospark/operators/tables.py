@@ -43,12 +43,26 @@ def markdown(cell_rows: DataFrame, keys: list[str], row: str = "row", col: str =
 
 
 def html(cell_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """HTML table of each grid; spans become attributes."""
-    attr = lambda n, c: F.when(F.col(c) > 1, F.concat(F.lit(f' {n}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    """HTML table of each grid; spans become attributes, slots that no cell covers empty cells. NULL where cells overlap, as no table can say that."""
+    size = lambda c: F.greatest(F.lit(1), F.coalesce(F.col(c), F.lit(1)))
+    c = cell_rows.withColumn("row_span", size("row_span")).withColumn("col_span", size("col_span"))
+    covered = slots(c.withColumnsRenamed({"row": "row_at", "col": "col_at"}), keys).groupBy(*keys, "slot_row", "slot_col").agg(F.count("*").alias("n"))
+    shape = covered.groupBy(*keys).agg((F.max("slot_row") + 1).alias("n_rows"), (F.max("slot_col") + 1).alias("n_cols"), (F.max("n") > 1).alias("overlapping"))
+    grid = shape.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
+    holes = grid.join(covered.select(*keys, F.col("slot_row").alias("row"), F.col("slot_col").alias("col")), [*keys, "row", "col"], "left_anti").select(*keys, "row", "col", F.lit("<td></td>").alias("td"))
+    attr = lambda n, x: F.when(F.col(x) > 1, F.concat(F.lit(f' {n}="'), F.col(x).cast("string"), F.lit('"'))).otherwise("")
     td = F.concat(F.lit("<td"), attr("rowspan", "row_span"), attr("colspan", "col_span"), F.lit(">"), html_escape(F.coalesce("text", F.lit(""))), F.lit("</td>"))
     joined = lambda k, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, v))), lambda x: x[v]), "")
-    rows = cell_rows.withColumn("td", td).groupBy(*keys, "row").agg(F.concat(F.lit("<tr>"), joined("col", "td"), F.lit("</tr>")).alias("tr"))
-    return rows.groupBy(*keys).agg(F.concat(F.lit("<table>"), joined("row", "tr"), F.lit("</table>")).alias("html"))
+    rows = c.select(*keys, "row", "col", td.alias("td")).unionByName(holes).groupBy(*keys, "row").agg(F.concat(F.lit("<tr>"), joined("col", "td"), F.lit("</tr>")).alias("tr"))
+    tables = rows.groupBy(*keys).agg(F.concat(F.lit("<table>"), joined("row", "tr"), F.lit("</table>")).alias("html"))
+    return tables.join(shape, keys).select(*keys, F.when(~F.col("overlapping"), F.col("html")).alias("html"))
+
+
+def written(cell_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, form, text: Markdown where it can say the table, HTML where cells span or hold a bar or a line break."""
+    hard = cell_rows.groupBy(*keys).agg(F.bool_or((F.coalesce("row_span", F.lit(1)) > 1) | (F.coalesce("col_span", F.lit(1)) > 1) | F.coalesce(F.col("text").rlike("[|\\r\\n]"), F.lit(False))).alias("hard"))
+    j = hard.join(markdown(cell_rows, keys), keys).join(html(cell_rows, keys), keys)
+    return j.select(*keys, F.when(F.col("hard"), "html").otherwise("markdown").alias("form"), F.when(F.col("hard"), F.col("html")).otherwise(F.col("markdown")).alias("text"))
 
 
 def fill_features(cell_rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import policy, routing, tables
@@ -95,12 +95,10 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{_CELLS}, f AS (SELECT grid_id, "row", col, nullif(trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')), '') AS text FROM c) SELECT grid_id, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, coalesce(text, '') AS text FROM f""")
 def html_table_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Grids written as HTML and read again give their cells; gaps at the left of a row are kept by empty cells."""
-    html = tables.html(_cells(spark, d).withColumns({"row_span": F.lit(1), "col_span": F.lit(1)}), ["grid_id"])
-    # rows without cells leave no trace in HTML, so rows are matched by their order
-    got = policy.cells_of(html, "grid_id", "html")
-    rows = _cells(spark, d).select("grid_id", "row").distinct().withColumn("n", F.row_number().over(Window.partitionBy("grid_id").orderBy("row")) - 1)
-    return got.withColumnRenamed("row", "n").join(rows, ["grid_id", "n"]).select("grid_id", "row", "col", "text")
+    """Grids written as HTML and read again give their cells; slots without a cell come back as empty ones and are left out."""
+    c = _cells(spark, d)
+    html = tables.html(c.withColumns({"row_span": F.lit(1), "col_span": F.lit(1)}), ["grid_id"])
+    return policy.cells_of(html, "grid_id", "html").join(c.select("grid_id", "row", "col"), ["grid_id", "row", "col"], "left_semi").select("grid_id", "row", "col", "text")
 
 
 @query("""WITH t AS (SELECT DISTINCT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(w) AS n, coalesce(nullif(list_position(w, 'the'), 0), len(w) + 1) AS e, coalesce(nullif(list_position(w, ''), 0), len(w) + 1) AS p FROM t) SELECT doc_id, CAST(least(e, p, n + 1) - 1 AS INT) AS length, e <= n AND e < p AS ended FROM p""")

@@ -197,12 +197,22 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     return evidence.fusion_groups(t.where("source = 'docling'"), t.where("source = 'easyocr'"), PAGE)
 
 
-@query()
-def fusion_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _groups(spark, d)
+_WS = "list_distinct(list_filter(string_split_regex(lower({}), '[^0-9a-z\\x{{E0}}-\\x{{1EF9}}]+'), lambda x: x <> ''))"
 
 
-_WS = "list_distinct(list_filter(string_split_regex(lower({}), '[^0-9a-z\\x{{E0}}-\\x{{1EF9}}]+'), lambda x: x <> ''))"
+_DUAL = f"""{_T}, two AS (SELECT document_id, page_index FROM t GROUP BY 1, 2 HAVING count(DISTINCT source) = 2), d2 AS (SELECT d.* FROM d JOIN two USING (document_id, page_index)), e2 AS (SELECT e.* FROM e JOIN two USING (document_id, page_index)),
+f AS (SELECT d.document_id, d.page_index, d.token_pos AS fine_pos, r.token_pos AS anchor_pos, d.text, d.y0, d.x0, d.confidence, {_FR} AS frac FROM e2 d JOIN d2 r ON {_ON} WHERE d.x1 > d.x0 AND d.y1 > d.y0),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_index, fine_pos ORDER BY frac DESC, anchor_pos) AS n FROM f WHERE frac > 0) WHERE n = 1 AND frac >= 0.4),
+h AS (SELECT document_id, page_index, anchor_pos, string_agg(text, ' ' ORDER BY y0, x0, fine_pos) AS ft, avg(confidence) AS fc, count(*) AS nf FROM k GROUP BY 1, 2, 3),
+g AS (SELECT d2.document_id, d2.page_index, 'anchor' AS side, d2.token_pos, d2.text AS anchor_text, coalesce(h.ft, '') AS fine_text, h.fc AS fine_confidence, 1 AS n_anchor, coalesce(h.nf, 0) AS n_fine FROM d2 LEFT JOIN h ON d2.document_id = h.document_id AND d2.page_index = h.page_index AND d2.token_pos = h.anchor_pos
+UNION ALL SELECT e2.document_id, e2.page_index, 'fine', e2.token_pos, '', e2.text, e2.confidence, 0, 1 FROM e2 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.document_id = e2.document_id AND k.page_index = e2.page_index AND k.fine_pos = e2.token_pos)),
+w AS (SELECT *, {_WS.format("anchor_text")} AS wa, {_WS.format("fine_text")} AS wf FROM g), s AS (SELECT *, CASE WHEN len(list_concat(wa, wf)) = 0 THEN 1.0 ELSE len(list_intersect(wa, wf)) / len(list_distinct(list_concat(wa, wf))) END AS similarity FROM w),
+z AS (SELECT *, CASE WHEN n_fine = 0 THEN 'single_anchor' WHEN n_anchor = 0 THEN 'single_fine' WHEN similarity >= 0.7 THEN 'keep_both_agree' WHEN similarity < 0.3 THEN 'conflict' ELSE 'keep_both_partial' END AS decision FROM s)"""
+
+
+@query(f"""{_DUAL} SELECT document_id, page_index, side, token_pos, anchor_text, fine_text, round(fine_confidence, 9) AS fine_confidence, n_anchor, n_fine, similarity, decision, CASE WHEN decision = 'conflict' THEN 'conflict' WHEN decision = 'keep_both_partial' OR coalesce(decision = 'single_fine' AND fine_confidence < 0.4, false) THEN 'suspicious' ELSE 'trusted' END AS status FROM z""")
+def fusion_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).withColumn("fine_confidence", F.round("fine_confidence", 9))
 
 
 @query(f"""{_T}, two AS (SELECT document_id, page_index FROM t GROUP BY 1, 2 HAVING count(DISTINCT source) = 2), d2 AS (SELECT d.* FROM d JOIN two USING (document_id, page_index)), e2 AS (SELECT e.* FROM e JOIN two USING (document_id, page_index)),
@@ -315,9 +325,13 @@ def span_slots(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("grid_id").agg(F.count("*").alias("n_slots"), F.countDistinct("slot_row", "slot_col").alias("n_distinct"))
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT grid_id, spans FROM annotated_grids), s AS (SELECT grid_id, unnest(spans) AS s FROM g), p AS (SELECT grid_id, s.row_at AS r0, s.col_at AS c0, greatest(1, coalesce(s.row_span, 1)) AS rs, greatest(1, coalesce(s.col_span, 1)) AS cs FROM s UNION ALL SELECT grid_id, s.row_at, s.col_at, 2, 2 FROM s WHERE grid_id % 4 = 0),
+q AS (SELECT grid_id, c0, cs, unnest(range(r0, r0 + rs)) AS slot_row FROM p), k AS (SELECT grid_id, slot_row, unnest(range(c0, c0 + cs)) AS slot_col FROM q) SELECT grid_id, slot_row, slot_col, count(*) AS n FROM k GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def span_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return tables.overlaps(_spans(spark, d), ["grid_id"])
+    """Slots that spans share; every fourth grid gets a second span of two by two at each of its own."""
+    s = _spans(spark, d)
+    planted = s.where(F.col("grid_id") % 4 == 0).withColumns({"row_span": F.lit(2), "col_span": F.lit(2)})
+    return tables.overlaps(s.unionByName(planted), ["grid_id"])
 
 
 @query(f"""{_CELLS}, l AS (SELECT grid_id, "row", '| ' || string_agg(coalesce(text, ''), ' | ' ORDER BY col) || ' |' AS line, count(*) AS n, row_number() OVER (PARTITION BY grid_id ORDER BY "row") AS k FROM c GROUP BY grid_id, "row")
@@ -326,15 +340,35 @@ def grid_markdown(spark: SparkSession, d: str) -> DataFrame:
     return tables.markdown(_cells(spark, d), ["grid_id"])
 
 
-@query()
+_SPANNED = f"""{_CELLS}, sp AS (SELECT grid_id, s.row_at AS "row", s.col_at AS col, max(s.row_span) AS row_span, max(s.col_span) AS col_span FROM (SELECT grid_id, unnest(spans) AS s FROM g) GROUP BY 1, 2, 3),
+cs AS (SELECT c.grid_id, c."row", c.col, c.text, greatest(1, coalesce(row_span, 1)) AS rs, greatest(1, coalesce(col_span, 1)) AS sc FROM c LEFT JOIN sp ON c.grid_id = sp.grid_id AND c."row" = sp."row" AND c.col = sp.col)"""
+
+
+def _spanned(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _spans(spark, d).groupBy("grid_id", F.col("row_at").alias("row"), F.col("col_at").alias("col")).agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span"))
+    return _cells(spark, d).join(sizes, ["grid_id", "row", "col"], "left")
+
+
+_ESC = "replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""{_SPANNED}, o1 AS (SELECT grid_id, col, sc, unnest(range("row", "row" + rs)) AS sr FROM cs), o2 AS (SELECT grid_id, sr, unnest(range(col, col + sc)) AS sk FROM o1), ov AS (SELECT grid_id, sr, sk, count(*) AS n FROM o2 GROUP BY 1, 2, 3), sh AS (SELECT grid_id, max(sr) + 1 AS nr, max(sk) + 1 AS nk, max(n) > 1 AS bad FROM ov GROUP BY 1),
+h1 AS (SELECT grid_id, nk, unnest(range(0, nr)) AS sr FROM sh), h2 AS (SELECT grid_id, sr, unnest(range(0, nk)) AS sk FROM h1), td AS (SELECT grid_id, "row" AS sr, col AS sk, '<td' || CASE WHEN rs > 1 THEN ' rowspan="' || CAST(rs AS VARCHAR) || '"' ELSE '' END || CASE WHEN sc > 1 THEN ' colspan="' || CAST(sc AS VARCHAR) || '"' ELSE '' END || '>' || {_ESC} || '</td>' AS td FROM cs UNION ALL SELECT grid_id, sr, sk, '<td></td>' FROM h2 WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.grid_id = h2.grid_id AND ov.sr = h2.sr AND ov.sk = h2.sk)),
+tr AS (SELECT grid_id, sr, '<tr>' || string_agg(td, '' ORDER BY sk, td) || '</tr>' AS tr FROM td GROUP BY 1, 2) SELECT grid_id, CASE WHEN NOT any_value(bad) THEN '<table>' || string_agg(tr, '' ORDER BY sr) || '</table>' END AS html FROM tr JOIN sh USING (grid_id) GROUP BY 1""")
 def grid_html(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d).join(_spans(spark, d).groupBy("grid_id", F.col("row_at").alias("row"), F.col("col_at").alias("col")).agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span")), ["grid_id", "row", "col"], "left")
-    return tables.html(c.fillna(1, ["row_span", "col_span"]), ["grid_id"])
+    return tables.html(_spanned(spark, d), ["grid_id"])
 
 
-@query()
+@query(f"""{_SPANNED} SELECT grid_id, CASE WHEN bool_or(rs > 1 OR sc > 1 OR coalesce(regexp_matches(text, '[|\\r\\n]'), false)) THEN 'html' ELSE 'markdown' END AS form FROM cs GROUP BY 1""")
+def grid_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Which form can say each grid."""
+    return tables.written(_spanned(spark, d), ["grid_id"]).select("grid_id", "form")
+
+
+@query(f"""{_SPANNED}, k AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY "row", col) AS pos, max("row") OVER (PARTITION BY grid_id) + 1 AS nr, max(col) OVER (PARTITION BY grid_id) + 1 AS nk FROM cs), o1 AS (SELECT *, unnest(range("row", least("row" + rs, nr))) AS r FROM k), o2 AS (SELECT *, unnest(range(col, least(col + sc, nk))) AS c FROM o1)
+SELECT grid_id, r, c, arg_max({{'t': text}}, pos).t AS text FROM o2 GROUP BY 1, 2, 3""")
 def dense_grid(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d).join(_spans(spark, d).groupBy("grid_id", F.col("row_at").alias("row"), F.col("col_at").alias("col")).agg(F.max("row_span").alias("row_span"), F.max("col_span").alias("col_span")), ["grid_id", "row", "col"], "left")
+    c = _spanned(spark, d)
     w = Window.partitionBy("grid_id")
     c = c.withColumn("pos", F.row_number().over(w.orderBy("row", "col"))).withColumn("nr", F.max("row").over(w) + 1).withColumn("nc", F.max("col").over(w) + 1)
     return tables.dense(c, ["grid_id"], F.col("nr"), F.col("nc"))
@@ -373,15 +407,20 @@ def region_stats(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("document_id").agg(F.count("*").alias("n_regions"), F.round(F.avg(G.Box.of().area()), 4).alias("mean_area"), F.min("x0").alias("x0"), F.max("y1").alias("y1"))
 
 
-@query(f"""{_CP} SELECT study_id, pos, region_pos FROM v WHERE NOT (isfinite(x0) AND isfinite(y0) AND isfinite(x1) AND isfinite(y1) AND x0 <= x1 AND y0 <= y1)""")
+@query(f"""{_CP} SELECT study_id, pos, region_pos FROM b WHERE b IS NULL OR len(b) <> 4 OR len(list_filter(b, lambda v: v IS NULL OR NOT isfinite(v))) > 0 OR b[1] > b[3] OR b[2] > b[4]""")
 def box_violations(spark: SparkSession, d: str) -> DataFrame:
-    return _study_boxes(spark, d).where(~F.coalesce(G.valid(G.Box.of()), F.lit(False))).select("study_id", "pos", "region_pos")
+    """Boxes of any form that are none: missing, of another size, not finite or not ordered."""
+    b = _study_pages(spark, d).select("study_id", "pos", F.posexplode("region_bboxes").alias("region_pos", "b"))
+    return b.where(G.verdict(F.col("b")) != "ok").select("study_id", "pos", "region_pos")
 
 
-@query(f"""{_CP}, k AS (SELECT study_id, coalesce(page_index, pos) AS idx, pos FROM q) SELECT study_id, CAST(idx AS BIGINT) AS page_key, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""{_CP}, k AS (SELECT study_id, CAST(coalesce(page_index, pos) AS BIGINT) AS page_key, pos FROM q UNION ALL SELECT study_id, 0, pos FROM q WHERE study_id % 5 = 0 AND pos = 1) SELECT study_id, page_key, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) > 1""")
 def duplicate_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a study with the same key; every fifth study of two pages or more gets a second page 0."""
     p = _study_pages(spark, d)
-    return p.groupBy("study_id", F.coalesce("page_index", "pos").cast("bigint").alias("page_key")).agg(F.count("*").alias("n")).where("n > 1")
+    k = p.select("study_id", F.coalesce("page_index", "pos").cast("bigint").alias("page_key"))
+    planted = p.where("study_id % 5 = 0 and pos = 1").select("study_id", F.lit(0).cast("bigint").alias("page_key"))
+    return k.unionByName(planted).groupBy("study_id", "page_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query(f"""{_CP}, m AS (SELECT unnest(map_entries(orphan_classes)) AS e FROM q WHERE orphan_classes IS NOT NULL) SELECT e.key AS class, sum(e.value) AS n, count(*) AS n_pages FROM m GROUP BY 1""")

@@ -211,7 +211,7 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return u.select("s_suppkey", "form", "n.url", "n.error")
 
 
-@query()
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier) SELECT 'accepted' AS decision, 2 * n AS n FROM n UNION ALL SELECT 'cross_origin', n FROM n UNION ALL SELECT 'unsupported_scheme', n FROM n UNION ALL SELECT 'invalid_percent_encoding', n FROM n""")
 def scope_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Admission of the discovered addresses, with every rule in order."""
     u = _urls(spark, d).withColumn("n", U.url_normalize("raw", F.lit("https://example.com/p/q"))).select("s_suppkey", "form", F.col("n.url").alias("url"), F.col("n.error").alias("error"))
