@@ -440,8 +440,10 @@ def frequent_patterns(lines: DataFrame) -> DataFrame:
 def layout(tokens: DataFrame) -> DataFrame:
     """The lines of all pages with their kind (body, header, page_number)."""
     lines = saved(page_lines(tokens), "lines")
-    kinds = furniture_lines(lines)
-    return lines.select(*LINE, "y0", "ws").join(kinds, LINE, "left").withColumn("kind", F.coalesce("kind", F.lit("body")))
+    # a page has a few such lines; joined by page, so that the windows of a page that follow need no other shuffle
+    kinds = furniture_lines(lines).groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("line", "kind"))).alias("kinds"))
+    j = lines.select(*LINE, "y0", "ws").join(kinds, PAGE, "left")
+    return j.withColumn("kind", F.coalesce(F.try_element_at("kinds", "line"), F.lit("body"))).drop("kinds")
 
 
 def with_halves(lines: DataFrame) -> DataFrame:
@@ -465,11 +467,16 @@ def words_of(lines: DataFrame) -> DataFrame:
     return w.select("w.token_id", *PAGE, "w.at", "line", "y0", "kind", "w.text", role.alias("role"), F.when(first, F.col("next")).when(second, F.col("open")).otherwise("").alias("mate"))
 
 
-def _keys(words: DataFrame) -> DataFrame:
-    """a, b per body token: the token itself and '', or the two halves in order."""
+def _halves(words: DataFrame) -> DataFrame:
+    """a, b per token: the token itself and '', or the two halves in order."""
     a = F.when(F.col("role") == 2, F.col("mate")).otherwise(F.col("text"))
     b = F.when(F.col("role") == 2, F.col("text")).otherwise(F.col("mate"))
-    return words.where("kind = 'body'").withColumn("a", a).withColumn("b", b)
+    return words.withColumn("a", a).withColumn("b", b)
+
+
+def _keys(words: DataFrame) -> DataFrame:
+    """The same of body tokens."""
+    return _halves(words.where("kind = 'body'"))
 
 
 def word_counts(types: DataFrame) -> DataFrame:
@@ -579,14 +586,14 @@ class Pages:
     def noise(self) -> DataFrame:
         """src (page or text), token_id, at, noise, better of every noisy token; token_id is the id of a text."""
         key = ["src", "token_id", "at"]
-        rest = _keys(self.words).select(*key, "role", "a", "b")
-        whole = rest.where("role = 0").join(F.broadcast(self.sound), "a", "left_anti")  # at most SPELLINGS rows
-        marked = whole.unionByName(rest.where("role > 0")).join(self.judged, ["a", "b"])
+        body = F.col("kind") == "body"
+        words = _halves(self.words).select(*key, "kind", "role", "a", "b")
+        sound = F.broadcast(self.sound.select(F.col("a").alias("s")))  # at most SPELLINGS rows
+        rest = words.join(sound, (F.col("a") == F.col("s")) & (F.col("role") == 0) & body, "left_anti")
+        j = rest.join(self.judged, ["a", "b"], "left")
         wrong = F.when(F.col("role") == 2, F.col("wrong_b")).otherwise(F.col("wrong_a"))
-        kinds = F.array_compact(F.array(F.when(F.col("hyphen") & (F.col("role") == 1), F.lit("hyphen")), F.when(wrong, F.lit("misread"))))
-        body = marked.select(*key, F.explode(kinds).alias("noise"), "better")
-        edge = self.words.where("kind <> 'body'").select(*key, F.col("kind").alias("noise"), F.lit(None).cast("array<string>").alias("better"))
-        return body.unionByName(edge)
+        kinds = F.when(body, F.array_compact(F.array(F.when(F.col("hyphen") & (F.col("role") == 1), F.lit("hyphen")), F.when(wrong, F.lit("misread"))))).otherwise(F.array("kind"))
+        return j.select(*key, F.explode(kinds).alias("noise"), F.when(body, F.col("better")).alias("better"))
 
     def found(self) -> DataFrame:
         """src, row_id (token or text) and noise, distinct."""
