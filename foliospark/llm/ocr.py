@@ -456,7 +456,8 @@ def with_halves(lines: DataFrame) -> DataFrame:
     l = lines.withColumn("last", last).withColumn("next", F.lead(F.try_element_at("ws", F.lit(1))["text"]).over(order))
     splits = (F.col("kind") == "body") & F.col("next").isNotNull() & F.regexp_replace("last", "\\p{Cf}", "").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
     l = l.withColumn("splits", F.coalesce(splits, F.lit(False))).withColumn("open", F.lag(F.when(F.col("splits"), F.col("last"))).over(order))
-    return l.select(*LINE, "y0", "kind", "splits", "open", F.when(F.col("splits"), F.col("next")).alias("next"), "ws")
+    l = l.withColumn("prev_word", F.lag("last").over(order))
+    return l.select(*LINE, "y0", "kind", "splits", "open", F.when(F.col("splits"), F.col("next")).alias("next"), "prev_word", F.col("next").alias("next_word"), "ws")
 
 
 def words_of(lines: DataFrame) -> DataFrame:
@@ -567,12 +568,14 @@ class Pages:
 
     def __init__(self, tokens: DataFrame, texts: DataFrame | None = None):
         lines = saved(with_halves(layout(tokens)), "halves")
+        self.lines = lines.withColumn("src", F.lit("page"))
         self.words = words_of(lines).withColumn("src", F.lit("page"))
         types = saved(_keys(self.words).where("role < 2").groupBy("a", "b").agg(F.count("*").alias("n")), "types")
         counted = types
         if texts is not None:
             patterns = [r.pattern for r in frequent_patterns(with_pattern(lines.where("kind = 'page_number'"))).collect()]
             more = saved(with_halves(text_lines(texts, header_wordings(lines, types), patterns)), "text-halves")
+            self.lines = self.lines.unionByName(more.withColumn("src", F.lit("text")))
             more = words_of(more).withColumn("src", F.lit("text"))
             self.words = self.words.unionByName(more)
             types = saved(types.unionByName(_keys(more).where("role < 2").groupBy("a", "b").agg(F.lit(0).cast("bigint").alias("n"))).groupBy("a", "b").agg(F.sum("n").alias("n")), "all-types")
@@ -584,8 +587,8 @@ class Pages:
         self.sound = types.where("b = ''").orderBy(F.desc("n"), "a").limit(SPELLINGS).join(bad, "a", "left_anti").select("a")
 
     def noise(self) -> DataFrame:
-        """src (page or text), token_id, at, noise, better of every noisy token; token_id is the id of a text."""
-        key = ["src", "token_id", "at"]
+        """src (page or text), its page, line, token_id, at, role, noise, better of every noisy token; token_id is the id of a text."""
+        key = ["src", *LINE, "token_id", "at"]
         body = F.col("kind") == "body"
         words = _halves(self.words).select(*key, "kind", "role", "a", "b")
         sound = F.broadcast(self.sound.select(F.col("a").alias("s")))  # at most SPELLINGS rows
@@ -593,7 +596,7 @@ class Pages:
         j = rest.join(self.judged, ["a", "b"], "left")
         wrong = F.when(F.col("role") == 2, F.col("wrong_b")).otherwise(F.col("wrong_a"))
         kinds = F.when(body, F.array_compact(F.array(F.when(F.col("hyphen") & (F.col("role") == 1), F.lit("hyphen")), F.when(wrong, F.lit("misread"))))).otherwise(F.array("kind"))
-        return j.select(*key, F.explode(kinds).alias("noise"), F.when(body, F.col("better")).alias("better"))
+        return j.select(*key, "role", F.explode(kinds).alias("noise"), F.when(body, F.col("better")).alias("better"))
 
     def found(self) -> DataFrame:
         """src, row_id (token or text) and noise, distinct."""
@@ -607,39 +610,56 @@ class Pages:
         not within an open sentence. A page has a bounded number of tokens. Of
         texts, document_id is the id.
         """
-        pairs = self._bigrams()
-        words, key = self.words, ["src", "token_id", "at"]
-        fixes = self.noise().where("noise <> 'header' and noise <> 'page_number'").groupBy(*key).agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
         page = ["src", *PAGE]
-        order = Window.partitionBy(*page).orderBy("at")
-        # what stands before and after the word, of halves the joined one
-        before = F.when(F.col("role") == 2, F.lag("text", 2).over(order)).otherwise(F.lag("text").over(order))
-        after = F.when(F.col("role") == 1, F.lead("text", 2).over(order)).otherwise(F.lead("text").over(order))
-        body = words.where("kind = 'body'").withColumn("before", F.lower(before)).withColumn("after", F.lower(after))
-        body = body.join(fixes, key, "left")
-        wrong = body.where("size(better) > 1").select(*key, "before", "after", F.posexplode("better").alias("rank", "word"))
-        # only the few pairs that are asked for are looked up in the table of all pairs
-        asked = wrong.select(F.col("before").alias("x"), F.col("word").alias("y")).unionByName(wrong.select(F.col("word").alias("x"), F.col("after").alias("y"))).distinct()
-        pairs = asked.join(pairs, ["x", "y"])
+        key = [*page, "line", "at", "role"]
+        body = self.lines.where("kind = 'body'")
+        marks = self.noise().where("noise = 'hyphen' or noise = 'misread'").groupBy(*key).agg(F.max("better").alias("better"), F.bool_or(F.col("noise") == "hyphen").alias("hyphen"), F.bool_or(F.col("noise") == "misread").alias("wrong"))
+        marks = saved(marks, "marks")
+        # what stands before and after a word with several candidates; a half has context on its outer side only
+        asked = marks.where("size(better) > 1").select(*key, "better")
+        near = asked.join(body.select(*page, "line", "ws", "prev_word", "next_word"), [*page, "line"])
+        k = F.array_position(F.transform("ws", lambda w: w["at"]), F.col("at")).cast("int")
+        text = lambda i: F.when(i > 0, F.try_element_at("ws", F.greatest(i, F.lit(1)))["text"])
+        before = F.when(F.col("role") != 2, F.lower(F.coalesce(text(k - 1), F.col("prev_word"))))
+        after = F.when(F.col("role") != 1, F.lower(F.coalesce(text(k + 1), F.col("next_word"))))
+        wrong = near.select(*key, before.alias("before"), after.alias("after"), F.posexplode("better").alias("rank", "word"))
+        # only the few pairs that are asked for are looked up among all pairs
+        pairs = wrong.select(F.col("before").alias("x"), F.col("word").alias("y")).unionByName(wrong.select(F.col("word").alias("x"), F.col("after").alias("y"))).distinct().join(self._bigrams(body), ["x", "y"])
         left = wrong.join(pairs.select(F.col("x").alias("before"), F.col("y").alias("word"), F.col("n").alias("n1")), ["before", "word"], "left")
         both = left.join(pairs.select(F.col("x").alias("word"), F.col("y").alias("after"), F.col("n").alias("n2")), ["word", "after"], "left")
         best = F.max_by("word", F.struct(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)), -F.col("rank")))
         chosen = both.groupBy(*key).agg(best.alias("chosen"))
-        parts = body.join(chosen, key, "left").select(*page, F.struct("at", "line", "y0", "text", "role", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("w"))
-        pages = parts.groupBy(*page).agg(F.array_sort(F.collect_list("w")).alias("words"))
+        fixes = marks.join(chosen, key, "left").select(*page, F.struct("at", "hyphen", "wrong", F.coalesce("chosen", F.try_element_at("better", F.lit(1))).alias("chosen")).alias("f"))
+        fixes = fixes.groupBy(*page).agg(F.collect_list("f").alias("fixes"))
+        # all words go to their page once, line by line; the few repairs meet them there
+        pages = body.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("line", "y0", "splits", F.col("open").isNotNull().alias("opened"), F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["text"].alias("text"))).alias("ws")))).alias("lines"))
+        pages = pages.join(fixes, page, "left")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                out = [(r.src, r.document_id, r.page_index, r.source, n, text) for r in pdf.itertuples() for n, text in enumerate(reflow(list(r.words)))]
+                out = []
+                for r in pdf.itertuples():
+                    fixed = {f["at"]: f for f in (r.fixes if r.fixes is not None else [])}
+                    out += [(r.src, r.document_id, r.page_index, r.source, n, text) for n, text in enumerate(reflow(list(page_words(r.lines, fixed))))]
                 yield pd.DataFrame(out, columns=[*page, "paragraph", "text"])
 
         return pages.mapInPandas(run, "src string, document_id string, page_index int, source string, paragraph int, text string")
 
-    def _bigrams(self) -> DataFrame:
-        """All pairs of adjacent words of pages, lower case, with their number."""
-        order = Window.partitionBy(*PAGE).orderBy("at")
-        w = self.words.where("kind = 'body' and src = 'page'").select(F.lower("text").alias("x"), F.lower(F.lead("text").over(order)).alias("y"))
-        return w.where("y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
+    def _bigrams(self, body: DataFrame) -> DataFrame:
+        """All pairs of adjacent words of pages, over the ends of lines too, in lower case, with their number."""
+        texts = F.concat(F.transform("ws", lambda w: F.lower(w["text"])), F.when(F.col("next_word").isNotNull(), F.array(F.lower("next_word"))).otherwise(F.array().cast("array<string>")))
+        zipped = F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("x"), F.slice("t", F.lit(2), F.size("t") - 1).alias("y"))
+        w = body.where("src = 'page'").select(texts.alias("t")).where("size(t) > 1").select(F.explode(zipped).alias("p"))
+        return w.groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
+
+
+def page_words(lines: list[dict], fixed: dict[int, dict]) -> Iterator[dict]:
+    """The words of a page in order, each with its role and its repair."""
+    for l in lines:
+        for k, w in enumerate(l["ws"]):
+            role = 1 if l["splits"] and k == len(l["ws"]) - 1 else 2 if l["opened"] and k == 0 else 0
+            f = fixed.get(w["at"]) or {"hyphen": None, "wrong": None, "chosen": None}
+            yield {"line": l["line"], "y0": l["y0"], "text": w["text"], "role": role, "hyphen": f["hyphen"], "wrong": f["wrong"], "chosen": f["chosen"]}
 
 
 def recased(seen: str, good: str) -> str:
