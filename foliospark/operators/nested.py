@@ -4,7 +4,8 @@ A depth-first visitor walks each record once and emits one row per node:
 its tag (document, page, element, table, study_table, cell, region), its own key, its parent's key,
 its position and all its attributes but its children as JSON. Rows of all tags share one
 schema, so the pass is a single map without a shuffle; `write_tagged` stores
-it partitioned by tag, and `typed` gives a tag its columns.
+it partitioned by tag, `typed` gives a tag its columns, and `flat_tables` does all
+three and keeps the table of each tag.
 
 Defined results:
 * NULL, broken or incomplete JSON: no rows. A payload that is a JSON string
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,27 +80,24 @@ def children(value: object) -> Iterator[tuple[int, str | None, dict]]:
 class Visitor:
     """Collects tagged rows column by column; one per batch."""
 
-    def __init__(self, src: str, with_payload: bool):
-        self.src, self.with_payload = src, with_payload
+    def __init__(self, src: str):
+        self.src = src
         self.cols: dict[str, list] = {n: [] for n in _ARROW.names}
         self.record_id: int | None = None
 
     def emit(self, tag: str, parent: str | None, key: str, pos: int, node: dict, nested: tuple[str, ...] = ()) -> None:
-        body = None
-        if self.with_payload:
-            # a list of pairs is a map of Arrow
-            own = {k: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for k, v in node.items() if k not in nested}
-            rest = {k: v for k, v in own.items() if k not in _KNOWN[tag]}
-            own = {k: v for k, v in own.items() if k in _KNOWN[tag]} | ({"rest": rest} if rest else {})
-            body = json.dumps(own, ensure_ascii=False, default=str)
+        # a list of pairs is a map of Arrow
+        own = {k: dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for k, v in node.items() if k not in nested}
+        rest = {k: v for k, v in own.items() if k not in _KNOWN[tag]}
+        own = {k: v for k, v in own.items() if k in _KNOWN[tag]} | ({"rest": rest} if rest else {})
+        body = json.dumps(own, ensure_ascii=False, default=str)
         for name, value in zip(_ARROW.names, (tag, self.src, self.record_id, parent, key, pos, body)):
             self.cols[name].append(value)
 
     def document(self, record_id: int, doc: dict) -> None:
         self.record_id = record_id
         doc_key = plain(doc.get("document_id")) or f"#{record_id}"
-        if self.with_payload:
-            self.emit("document", None, doc_key, 0, doc, ("pages",))
+        self.emit("document", None, doc_key, 0, doc, ("pages",))
         for pos, under, page in children(doc.get("pages")):
             index = plain(page.get("index"))
             key = f"{doc_key}/{index if index is not None else plain(under) or pos}"
@@ -113,16 +112,14 @@ class Visitor:
     def study(self, record_id: int, document_id: str | None, pages: list | None, about: dict | None = None) -> None:
         self.record_id = record_id
         doc_key = plain(document_id) or f"#{record_id}"
-        if self.with_payload:
-            self.emit("document", None, doc_key, 0, {"document_id": document_id} | (about or {}))
+        self.emit("document", None, doc_key, 0, {"document_id": document_id} | (about or {}))
         for pos, _, page in children(pages):
             index = plain(page.get("page_index"))
             key = f"{doc_key}/{index if index is not None else pos}"
             self.emit("page", doc_key, key, pos, page, ("region_bboxes", "region_labels", "region_claimed", "table_bboxes", "table_cells"))
-            if self.with_payload:
-                boxes, cells = page.get("table_bboxes") or [], page.get("table_cells") or []
-                for n in range(max(len(boxes), len(cells))):
-                    self.emit("study_table", key, f"{key}/table{n}", n, {"n_cells": cells[n] if n < len(cells) else None, "bbox": boxes[n] if n < len(boxes) else None})
+            boxes, cells = page.get("table_bboxes") or [], page.get("table_cells") or []
+            for n in range(max(len(boxes), len(cells))):
+                self.emit("study_table", key, f"{key}/table{n}", n, {"n_cells": cells[n] if n < len(cells) else None, "bbox": boxes[n] if n < len(boxes) else None})
             labels, claimed = page.get("region_labels") or [], page.get("region_claimed") or []
             for n, box in enumerate(page.get("region_bboxes") or []):
                 if box:
@@ -149,12 +146,12 @@ def parsed(payload: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def emit_documents(df: DataFrame, with_payload: bool = True) -> DataFrame:
+def emit_documents(df: DataFrame) -> DataFrame:
     """Tagged rows of JSON documents; df has record_id and payload, other columns are ignored."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = Visitor("raw_documents", with_payload)
+            v = Visitor("raw_documents")
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (doc := parsed(text)) is not None:
                     v.document(rid, doc)
@@ -163,21 +160,19 @@ def emit_documents(df: DataFrame, with_payload: bool = True) -> DataFrame:
     return df.select("record_id", "payload").mapInArrow(visit, TAGGED)
 
 
-def emit_studies(df: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Tagged rows of case studies; df has study_id, document_id and pages, with payload other columns become attributes of the document."""
-    more = [c for c in df.columns if c not in ("study_id", "document_id", "pages")] if with_payload else []
+def emit_studies(df: DataFrame) -> DataFrame:
+    """Tagged rows of case studies; df has study_id, document_id and pages, other columns become attributes of the document."""
+    more = [c for c in df.columns if c not in ("study_id", "document_id", "pages")]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = Visitor("case_studies", with_payload)
+            v = Visitor("case_studies")
             about = [dict(zip(more, x)) for x in zip(*(batch.column(3 + i).to_pylist() for i in range(len(more))))] or [{}] * batch.num_rows
             for sid, doc, pages, own in zip(*(batch.column(i).to_pylist() for i in range(3)), about):
                 v.study(sid, doc, pages, own)
             yield v.batch()
 
-    page = lambda p: F.when(p.isNotNull(), F.struct(*(p[f].alias(f) for f in ("page_index", "region_bboxes"))))
-    pages = F.col("pages") if with_payload else F.transform("pages", page).alias("pages")
-    return df.select("study_id", "document_id", pages, *more).mapInArrow(visit, TAGGED)
+    return df.select("study_id", "document_id", "pages", *more).mapInArrow(visit, TAGGED)
 
 
 def found(tagged: DataFrame) -> DataFrame:
@@ -194,3 +189,22 @@ def typed(tagged: DataFrame, tag: str) -> DataFrame:
     """The flat table of one tag: keys plus its typed columns; unparsable attributes are NULL."""
     rows = tagged.where(F.col("tag") == tag)
     return rows.select("src", "record_id", "parent_key", "child_key", "pos", F.from_json("payload", SCHEMAS[tag], {"mode": "PERMISSIVE"}).alias("_v")).select("src", "record_id", "parent_key", "child_key", "pos", "_v.*")
+
+
+def flat_tables(tagged: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Store the pass once by tag, then read each tag's folder with its schema and keep its flat table; all lie below `path`."""
+    write_tagged(tagged, f"{path}/tagged")
+    read = tagged.sparkSession.read
+    # with its schema given, a pass without rows reads as no rows
+    stored, flat = read.schema(TAGGED).parquet(f"{path}/tagged"), {}
+    for tag in SCHEMAS:
+        rows = typed(stored, tag)
+        rows.write.mode("overwrite").parquet(f"{path}/{tag}")
+        flat[tag] = read.schema(rows.schema).parquet(f"{path}/{tag}")
+    return flat
+
+
+def links(flat: dict[str, DataFrame]) -> DataFrame:
+    """The keys of all rows of the flat tables, with their tag."""
+    parts = [rows.select(F.lit(tag).alias("tag"), "src", "record_id", "parent_key", "child_key") for tag, rows in flat.items()]
+    return reduce(DataFrame.unionByName, parts)

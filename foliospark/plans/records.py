@@ -11,35 +11,32 @@ from foliospark.operators import drift, nested
 from foliospark.session import saved, scratch, table
 
 
-def _tagged(spark: SparkSession, sf_dir: str, with_payload: bool) -> DataFrame:
-    docs = nested.emit_documents(table(spark, sf_dir, "raw_documents"), with_payload)
-    return docs.unionByName(nested.emit_studies(table(spark, sf_dir, "case_studies"), with_payload))
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = nested.emit_documents(table(spark, sf_dir, "raw_documents"))
+    return docs.unionByName(nested.emit_studies(table(spark, sf_dir, "case_studies")))
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the flat tables, which are written from the tagged pass."""
+    return nested.links(nested.flat_tables(_tagged(spark, sf_dir), scratch(spark, "p4")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.found(_tagged(spark, sf_dir, False))
+    return nested.found(_links(spark, sf_dir))
 
 
 def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the tagged pass once, reads each flat table back with its schema, and reports rows, distinct children and children without parent."""
-    path = scratch(spark, "p4")
-    nested.write_tagged(_tagged(spark, sf_dir, True), path)
-    tagged = spark.read.parquet(path)
+    rows = _links(spark, sf_dir).withColumnRenamed("tag", "kind")
     # a document may recur under another record, whose pages are not this record's
-    parents = tagged.select("src", "record_id", F.col("child_key").alias("parent_key")).distinct().withColumn("linked", F.lit(True))
-    parts = []
-    for tag in nested.SCHEMAS:
-        flat = nested.typed(tagged, tag).select(F.lit(tag).alias("kind"), "src", "record_id", "parent_key", "child_key")
-        parts.append(flat.join(parents, ["src", "record_id", "parent_key"], "left"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    parents = rows.select("src", "record_id", F.col("child_key").alias("parent_key")).distinct().withColumn("linked", F.lit(True))
+    rows = rows.join(parents, ["src", "record_id", "parent_key"], "left")
     return rows.groupBy("kind", "src").agg(F.count("*").alias("n_rows"), F.countDistinct("record_id", "child_key").alias("n_children"), F.count_if(F.col("linked").isNull() & (F.col("kind") != "document")).alias("n_unlinked"))
 
 
 def _flat(tag: str) -> Callable[[SparkSession, str], DataFrame]:
     def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return nested.typed(_tagged(spark, sf_dir, True), tag)
+        return nested.typed(_tagged(spark, sf_dir), tag)
 
     flat.__doc__ = f"The flat table of {tag}s with all its typed columns."
     return flat

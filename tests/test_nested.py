@@ -62,3 +62,28 @@ def test_flat_tables_keep_every_field(spark, tmp_path):
     assert (d.language, p.page_size, p.n_tables, json.loads(p.claims)) == ("en", [5.0, 6.0], 1, {"x": 3})
     assert (t.parent_key, t.n_cells, t.bbox) == ("s/0", 7, [1.0, 2.0, 3.0, 4.0])
     assert {r.kind for r in R.QUERIES["p4_found"](spark, str(tmp_path)).collect()} == {"page", "element"}
+
+
+def test_found_comes_from_the_stored_flat_tables(spark, tmp_path):
+    from foliospark.plans import records as R
+
+    page = {"index": 0, "width": 7, "elements": [{"id": "e", "text": "x"}], "tables": [{"id": "t", "n_rows": 1, "cells": [{"row": 0, "col": 1, "text": "y"}]}]}
+    raw = "record_id bigint, payload string"
+    study = "study_id bigint, document_id string, language string, pages array<struct<page_index:int,table_bboxes:array<array<double>>,region_labels:array<string>,region_bboxes:array<array<double>>>>"
+    some, none = f"{tmp_path}/some", f"{tmp_path}/none"
+    for path, docs, studies in ((some, [(1, doc([page]))], [(2, "s", "en", [(0, [[1.0, 2.0, 3.0, 4.0]], ["a"], [[5.0, 6.0, 7.0, 8.0]])])]), (none, [], [])):
+        spark.createDataFrame(docs, raw).write.parquet(f"{path}/raw_documents.parquet")
+        spark.createDataFrame(studies, study).write.parquet(f"{path}/case_studies.parquet")
+
+    found = R.QUERIES["p4_found"](spark, some)
+    # the tables of the tags that count are read, not the nested records again
+    read = {f.split("/")[-2]: f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    assert set(read) == {"page", "element", "table", "cell", "region"}
+    flat = {tag: spark.read.parquet(folder).collect() for tag, folder in read.items()}
+    by_src = lambda tag: {r.src: r for r in flat[tag]}
+    assert (by_src("page")["raw_documents"].width, by_src("element")["raw_documents"].text, by_src("table")["raw_documents"].n_rows) == (7.0, "x", 1)
+    assert (by_src("cell")["raw_documents"].col, by_src("cell")["raw_documents"].text, by_src("region")["case_studies"].bbox) == (1, "y", [5.0, 6.0, 7.0, 8.0])
+    assert {tuple(r) for r in found.collect()} == {(r.src, r.record_id, tag, r.parent_key, r.child_key) for tag, rows in flat.items() for r in rows}
+    assert {(r.kind, r.parent_key, r.child_key) for r in found.collect()} == {("page", "d", "d/0"), ("element", "d/0", "d/0/e"), ("table", "d/0", "d/0/t"), ("cell", "d/0/t", "d/0/t/r0c1"), ("page", "s", "s/0"), ("region", "s/0", "s/0/0")}
+    # records without children, and no records at all, give no rows
+    assert R.QUERIES["p4_found"](spark, none).count() == R.QUERIES["p4_tables"](spark, none).count() == 0
