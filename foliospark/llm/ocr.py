@@ -122,8 +122,11 @@ class Trie:
 
         The automaton of the word is a set of positions per number of errors,
         held as bits; a branch ends when no position is left or no word below
-        it is frequent enough.
+        it is frequent enough. For one error no automaton is needed: the words
+        leave the path of this one at one node, and what follows must be alike.
         """
+        if distance == 1:
+            return self._near_one(word, least)
         m, bits = len(word), {}
         for i, c in enumerate(word):
             bits[c] = bits.get(c, 0) | 1 << i
@@ -150,6 +153,36 @@ class Trie:
                         stack.append((child, tuple(after), prefix + c))
         return found
 
+    def _near_one(self, word: str, least: int) -> list[tuple[str, int]]:
+        found, node, m = {}, self, len(word)
+        for i in range(m + 1):
+            # here and the next character, which must follow one that is added or another in this place; none at the end
+            same, after = word[i : i + 1], word[i + 1 : i + 2]
+            for c, child in node.next.items():
+                if child.most < least:
+                    continue
+                if (not same or same in child.next) and (n := child._count_of(word, i)) >= least:
+                    found[word[:i] + c + word[i:]] = n
+                if same and (not after or after in child.next) and (n := child._count_of(word, i + 1)) >= least:
+                    found[word[:i] + c + word[i + 1 :]] = n
+            if not same:
+                break
+            if (n := node._count_of(word, i + 1)) >= least:
+                found[word[:i] + word[i + 1 :]] = n
+            node = node.next.get(same)
+            if node is None or node.most < least:
+                break
+        return list(found.items())
+
+    def _count_of(self, word: str, start: int) -> int:
+        """The count of what the word has from start on, below this node."""
+        node = self
+        for k in range(start, len(word)):
+            node = node.next.get(word[k])
+            if node is None:
+                return 0
+        return node.count
+
 
 _SIGN = re.compile(r"[^\w!]|_")
 _AS_DIGITS = "".join(sorted({chr(c) for c in _TO_DIGIT}))
@@ -341,19 +374,25 @@ def page_lines(tokens: DataFrame) -> DataFrame:
     by_page = Window.partitionBy(*PAGE)
     order = by_page.orderBy("token_pos", "token_id")
     t = tokens.where("text is not null").select("token_id", *PAGE, "token_pos", "text", "x0", "y0", "y1")
-    t = t.withColumn("before", F.lag(F.struct("token_id", "x0", "y0")).over(order)).withColumn("at", F.row_number().over(order)).where("before is null or before.token_id <> token_id")
-    step = (F.abs(F.col("y0") - F.col("before.y0")) > 0.65 * (F.col("y1") - F.col("y0"))) | (F.col("x0") < F.col("before.x0") - 60)
-    t = t.withColumn("line", F.sum((F.col("before").isNull() | F.coalesce(step, F.lit(False))).cast("int")).over(order))
-    t = t.withColumn("lines", F.max("line").over(by_page)).withColumn("left", F.min("x0").over(by_page))
-    lines = t.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("at", "token_id", "text"))).alias("ws"), F.min_by("y0", "at").alias("y0"), F.min_by("x0", "at").alias("x0"), F.first("left").alias("left"), F.first("lines").alias("lines"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+    t = t.select("*", F.row_number().over(order).alias("at"), *(F.lag(c).over(order).alias(f"{c}_before") for c in ("token_id", "x0", "y0"))).where("at = 1 or token_id_before <> token_id")
+    step = (F.abs(F.col("y0") - F.col("y0_before")) > 0.65 * (F.col("y1") - F.col("y0"))) | (F.col("x0") < F.col("x0_before") - 60)
+    # no two rows of a page are equal in the order any more
+    t = t.withColumn("line", F.sum(((F.col("at") == 1) | F.coalesce(step, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = t.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("at", "token_id", "text"))).alias("ws"), F.min_by("y0", "at").alias("y0"), F.min_by("x0", "at").alias("x0"), F.min("x0").alias("least"), F.max(F.col("y1") - F.col("y0")).alias("height"))
+    # what all lines of a page share is found from its lines, which are far fewer than its words
+    lines = lines.withColumn("lines", F.max("line").over(by_page)).withColumn("left", F.min("least").over(by_page))
     shift = F.floor((F.col("x0") - F.col("left")) / (2 * F.greatest(F.col("height"), F.lit(1.0))))
     return lines.select(*LINE, "lines", "y0", F.least(F.coalesce(shift, F.lit(0)), F.lit(5)).cast("int").alias("shift"), "ws")
 
 
-def _bare(ws: Column) -> Column:
-    """The words of a line in lower case without marks and signs, one below the other."""
-    text = F.lower(F.array_join(F.transform(ws, lambda w: w["text"]), "\n"))
-    return F.regexp_replace(text, "[\\p{Cf}\\p{M}\\p{P}\\p{S}]", "")
+def _low(ws: Column) -> Column:
+    """The words of a line in lower case, one below the other."""
+    return F.lower(F.array_join(ws["text"], "\n"))
+
+
+def _bare(low: Column) -> Column:
+    """The same without marks and signs."""
+    return F.regexp_replace(low, "[\\p{Cf}\\p{M}\\p{P}\\p{S}]+", "")
 
 
 def _pattern(bare: Column, n_words: Column) -> Column:
@@ -361,14 +400,14 @@ def _pattern(bare: Column, n_words: Column) -> Column:
     seen, flat = _plainer()
     numbers = F.regexp_replace(bare, f"(?m)^{_NUMBER}$", "#")
     numbers = F.when(n_words <= 3, F.regexp_replace(numbers, "(?m)^(?:[oilzsbgq]{1,3}|[ivxl]+)$", "#")).otherwise(numbers)
-    return F.regexp_replace(F.translate(numbers, seen.replace("#", ""), flat), "[^\\p{L}#\\n]", "")
+    return F.regexp_replace(F.translate(numbers, seen.replace("#", ""), flat), "[^\\p{L}#\\n]+", "")
 
 
 _NUMBER = "(?=[oilzsbgq]*[0-9])[0-9oilzsbgq]{1,4}"
 
 
 def with_pattern(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("pattern", F.replace(_pattern(_bare(F.col("ws")), F.size("ws")), F.lit("\n"), F.lit("")))
+    return lines.withColumn("pattern", F.replace(_pattern(_bare(_low(F.col("ws"))), F.size("ws")), F.lit("\n"), F.lit("")))
 
 
 def furniture_lines(lines: DataFrame) -> DataFrame:
@@ -386,9 +425,10 @@ def furniture_lines(lines: DataFrame) -> DataFrame:
     """
     below = F.col("lines") - F.col("line") + 1
     side = F.when((F.col("line") <= EDGE) & (F.col("line") <= below), "top").when(below <= EDGE, "bottom")
-    e = lines.select(*LINE, side.alias("side"), F.least(F.col("line"), below).alias("rank"), "shift", F.size("ws").alias("n"), _bare(F.col("ws")).alias("bare"))
+    e = lines.select(*LINE, side.alias("side"), F.least(F.col("line"), below).alias("rank"), "shift", F.size("ws").alias("n"), _low(F.col("ws")).alias("low"))
     edge = F.col("side").isNotNull()
-    # only the ends of a page are put out of focus
+    # only the ends of a page are put out of focus; of other lines the letters are compared
+    e = e.withColumn("bare", F.when(edge, _bare(F.col("low"))))
     e = e.withColumn("parts", F.when(edge, _pattern(F.col("bare"), F.col("n"))))
     e = e.withColumn("value", F.when(edge, F.translate(F.regexp_extract("bare", f"(?m)^({_NUMBER})$", 1), *_DIGITS).try_cast("int")))
     e = e.withColumn("pattern", F.replace("parts", F.lit("\n"), F.lit(""))).withColumn("bones", F.filter(F.split("parts", "\n"), lambda b: (b != "#") & (b != "")))
@@ -398,21 +438,21 @@ def furniture_lines(lines: DataFrame) -> DataFrame:
     pair = lambda name, k: key("pair", F.concat_ws(" ", "side", "rank", F.lit(name), F.slice(b, k, F.lit(2))))
     numbered = F.regexp_count("pattern", F.lit("#")).between(1, 2) & F.col("value").isNotNull()
     ahead = key("ahead", F.concat_ws(" ", "side", F.col("value") - F.col("page_index")))
-    whole = F.when(edge, F.array_join("bones", "")).otherwise(F.regexp_replace("bare", "[^\\p{L}]", ""))
+    whole = F.when(edge, F.array_join("bones", "")).otherwise(F.regexp_replace("low", "[^\\p{L}]+", ""))
     keys = F.concat(
-        F.array(key("page", F.lit(""))),
         F.when(F.size(b) > 2, F.array(pair("start", F.lit(1)), pair("second", F.lit(2)), pair("end", F.size(b) - 1))).when(F.size(b) == 2, F.array(pair("start", F.lit(1)))).otherwise(none),
         F.when(numbered, F.array(ahead)).when(whole != "", F.array(key("whole", whole))).otherwise(none),
     )
     e = saved(e.select(*LINE, "side", "rank", "shift", "pattern", keys.alias("keys")), "edges")
     rows = e.select(*LINE, F.inline("keys"))
-    # on how many pages of its document each key stands; "page" stands on all of them
-    seen_on = rows.groupBy("document_id", "spot", "key").agg(F.countDistinct("page_index").alias("on"))
-    found = rows.join(seen_on, ["document_id", "spot", "key"]).groupBy(*LINE).agg(F.collect_list(F.struct("spot", "on")).alias("seen"), F.max(F.when(F.col("spot") == "page", F.col("on"))).alias("pages"))
-    often = lambda x: (x["on"] > 1) & (x["on"] >= F.least(F.lit(3), F.col("pages"))) & (2 * x["on"] >= F.col("pages"))
-    number = lambda spot: F.size(F.filter("seen", lambda x: (x["spot"] == spot) & often(x)))
-    found = found.select(*LINE, "pages", number("pair").alias("n_pair"), (F.size(F.filter("seen", lambda x: (x["spot"] == "whole") & often(x) & (x["on"] > 2))) > 0).alias("again"), (number("ahead") > 0).alias("advances"))
-    e = e.drop("keys").join(found, LINE).where("side is not null or again")
+    pages = e.groupBy("document_id").agg(F.countDistinct("page_index").alias("pages"))
+    # the keys that stand on many pages of their document are few: only these meet the lines again
+    seen_on = rows.groupBy("document_id", "spot", "key").agg(F.countDistinct("page_index").alias("on")).where("on > 1")
+    often = seen_on.join(pages, "document_id").where("on >= least(3, pages) and 2 * on >= pages and (spot <> 'whole' or on > 2)").select("document_id", "spot", "key")
+    of = lambda spot: F.count_if(F.col("spot") == spot)
+    found = rows.join(often, ["document_id", "spot", "key"]).groupBy(*LINE).agg(of("pair").alias("n_pair"), (of("whole") > 0).alias("again"), (of("ahead") > 0).alias("advances"))
+    e = e.drop("keys").join(pages, "document_id").where("page_index is not null and source is not null").join(found, LINE, "left").where("side is not null or again")
+    e = e.fillna({"n_pair": 0, "again": False, "advances": False})
     e = e.withColumn("recurs", F.col("again") | (F.col("n_pair") >= F.when(F.col("pages") > 2, 1).otherwise(3)))
     e = saved(e.select(*LINE, "pattern", "side", "rank", "shift", "pages", "advances", "recurs"), "evidence")
     # where most lines at the ends of a document's pages recur its pages are copies or forms: only what stands apart from their margin can be furniture
@@ -451,13 +491,14 @@ def with_halves(lines: DataFrame) -> DataFrame:
 
     The last word of a body line that ends in a dividing mark and the first of the next body line are halves.
     """
-    order = Window.partitionBy(*PAGE, F.col("kind") == "body").orderBy("line")
-    last = F.try_element_at("ws", F.lit(-1))["text"]
-    l = lines.withColumn("last", last).withColumn("next", F.lead(F.try_element_at("ws", F.lit(1))["text"]).over(order))
-    splits = (F.col("kind") == "body") & F.col("next").isNotNull() & F.regexp_replace("last", "\\p{Cf}", "").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
-    l = l.withColumn("splits", F.coalesce(splits, F.lit(False))).withColumn("open", F.lag(F.when(F.col("splits"), F.col("last"))).over(order))
-    l = l.withColumn("prev_word", F.lag("last").over(order))
-    return l.select(*LINE, "y0", "kind", "splits", "open", F.when(F.col("splits"), F.col("next")).alias("next"), "prev_word", F.col("next").alias("next_word"), "ws")
+    # one column, so that all windows share one order
+    order = Window.partitionBy(*PAGE, "body").orderBy("line")
+    l = lines.withColumn("body", F.col("kind") == "body").withColumn("first", F.try_element_at("ws", F.lit(1))["text"]).withColumn("last", F.try_element_at("ws", F.lit(-1))["text"])
+    marked = F.col("body") & F.regexp_replace("last", "\\p{Cf}", "").rlike(f"[\\p{{L}}\\p{{N}}][{MARKS}]$")
+    l = l.withColumn("marked", F.coalesce(marked, F.lit(False)))
+    l = l.select("*", F.lead("first").over(order).alias("next_word"), F.lag("last").over(order).alias("prev_word"), F.lag("marked").over(order).alias("follows"))
+    splits, opened = F.col("marked") & F.col("next_word").isNotNull(), F.col("follows") & F.col("first").isNotNull()
+    return l.select(*LINE, "y0", "kind", splits.alias("splits"), F.when(opened, F.col("prev_word")).alias("open"), F.when(splits, F.col("next_word")).alias("next"), "prev_word", "next_word", "ws")
 
 
 def words_of(lines: DataFrame) -> DataFrame:
@@ -865,10 +906,10 @@ def furniture(lines: list[str], worded: set[int], patterns: frozenset[str]) -> d
 
 
 def _wording(text: Column) -> Column:
-    """A word as headers are compared by: out of focus, numbers and codes as #, signs as they are."""
+    """Words, one below the other, as headers are compared by: out of focus, numbers and codes as #, signs as they are."""
     seen, flat = _plainer()
-    low = F.lower(F.regexp_replace(text, "[\\p{Cf}\\p{M},.^~_]", ""))
-    return F.when(low.rlike("[0-9]"), "#").otherwise(F.translate(low, seen, flat))
+    low = F.lower(F.regexp_replace(text, "[\\p{Cf}\\p{M},.^~_]+", ""))
+    return F.translate(F.regexp_replace(low, "(?md)^[^\\n0-9]*+[0-9][^\\n]*+", "#"), seen, flat)
 
 
 def header_wordings(lines: DataFrame, types: DataFrame) -> DataFrame:
@@ -889,11 +930,11 @@ def text_lines(texts: DataFrame, wordings: DataFrame, patterns: list[str]) -> Da
     """
     t = texts.where("text is not null").select(F.col("id").cast("bigint").alias("id"), "text").distinct()
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda l: F.trim(l["x"]) != "")
-    few = lambda l: (F.length(F.regexp_replace(l["x"], "[^\\p{L}]", "")) <= 24) & l["x"].rlike("[0-9]|^\\W*\\w{1,4}\\W*$") & ~l["x"].rlike("[.;,]\\s*$")
+    few = lambda l: l["x"].rlike("[0-9]|^\\W*\\w{1,4}\\W*$") & ~l["x"].rlike("[.;,]\\s*$") & (F.length(F.regexp_replace(l["x"], "[^\\p{L}]+", "")) <= 24)
     lines = t.select("id", full.alias("ls")).where("size(ls) > 0").withColumn("few", F.transform("ls", few))
     beside = lambda _, i: (i == 0) | (i == F.size("ls") - 1) | F.try_element_at("few", i).eqNullSafe(F.lit(True)) | F.try_element_at("few", i + 2).eqNullSafe(F.lit(True))
-    maybe = lines.select("id", F.explode(F.filter("ls", beside)).alias("l")).select("id", "l.i", F.filter(F.split("l.x", "\\s+"), lambda w: w != "").alias("ws"))
-    known = maybe.select("id", "i", F.explode("ws").alias("w")).select("id", "i", _wording(F.col("w")).alias("x")).join(wordings, "x").groupBy("id").agg(F.collect_set("i").alias("worded"))
+    maybe = lines.select("id", F.explode(F.filter("ls", beside)).alias("l")).select("id", "l.i", _wording(F.regexp_replace("l.x", "\\s+", "\n")).alias("ws"))
+    known = maybe.select("id", "i", F.explode(F.array_distinct(F.split("ws", "\n"))).alias("x")).join(wordings, "x").groupBy("id").agg(F.collect_set("i").alias("worded"))
     known_patterns = frozenset(patterns)
     kind = pa.list_(pa.struct([("i", pa.int32()), ("kind", pa.string())]))
 

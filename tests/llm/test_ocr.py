@@ -161,3 +161,29 @@ def test_all_pairs_rank_whole_and_divided_words(spark, monkeypatch):
 def test_no_candidate_is_left_out():
     words = {w: 900 - 100 * n for n, w in enumerate(("bat", "cat", "hat", "mat", "rat", "sat", "vat"))}
     assert O.Lexicon(words, set(), set()).misread("xat") == (True, list(words))
+
+
+def test_lines_of_texts_are_brought_into_order_once(spark):
+    ws = "array<struct<at:bigint,token_id:bigint,text:string>>"
+    rows = [("1", 0, 1.0, [(1, 1, "the"), (2, 1, "excep-")], "body"), ("1", 1, 2.0, [(3, 1, "Page"), (4, 1, "3")], "page_number"), ("1", 2, 3.0, [(5, 1, "tional"), (6, 1, "board")], "body")]
+    lines = spark.createDataFrame(rows, f"document_id string, line int, y0 double, ws {ws}, kind string")
+    halves = O.with_halves(lines.selectExpr("document_id", "0 as page_index", "'text' as source", "line", "y0", "ws", "kind"))
+    assert halves._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = [(r.splits, r.open, r.next, r.prev_word, r.next_word) for r in halves.orderBy("line").collect()]
+    assert got == [(True, None, "tional", None, "tional"), (False, None, None, None, None), (False, "excep-", None, "excep-", None)]
+
+
+def test_words_of_a_line_are_put_out_of_focus_together(spark):
+    words = ["Kelmora", "No.12", "Straße,", "٣", "...", "vol A4"]
+    df = spark.createDataFrame([("\n".join(words),), *((w,) for w in words)], "x string")
+    whole, *each = (r[0] for r in df.select(O._wording(df.x)).collect())
+    assert whole.split("\n") == each and each[1] == "#" and each[-1] == "#"
+
+
+def test_one_error_needs_no_automaton():
+    trie = O.Trie()
+    for n, w in enumerate(("bat", "cat", "at", "cats", "coat", "act"), 1):
+        trie.add(w, n)
+    near = trie._near_one
+    assert sorted(near("cat", 1)) == [("at", 3), ("bat", 1), ("cat", 2), ("cats", 4), ("coat", 5)] and sorted(near("cat", 3)) == [("at", 3), ("cats", 4), ("coat", 5)]
+    assert near("", 1) == near("x", 1) == [] and near("t", 1) == [("at", 3)]
