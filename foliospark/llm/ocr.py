@@ -10,9 +10,9 @@
    words, and the frequent shapes of codes and numbers, become a vocabulary trie;
    the share bounds its size. The counts of all other words stay a table, from
    which `with_counts` joins them to the words to be judged.
-3. `judge` decides each distinct word, or pair of halves, once: a bit-parallel
-   Levenshtein automaton of the word runs through the trie and yields every
-   vocabulary word within its distance: 1, and while no nearer word explains a
+3. `judge` decides each distinct word, or pair of halves, once: its path through
+   the trie, or a bit-parallel Levenshtein automaton of it beyond distance 1,
+   yields every vocabulary word within its distance: 1, and while no nearer word explains a
    rare word, 2 from six letters (names nine) and 3 from ten on. A word is misread
    if such a word is so much more frequent that the other can only be its
    distortion; among several candidates the words before and after decide in
