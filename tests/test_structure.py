@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.operators import structure as S
+from foliospark.plans import structure as plans
 
 
 def test_crossing_run_odd_style_and_mixed_cell(spark):
@@ -75,3 +76,23 @@ def test_box_verdicts(spark):
     rows = [(None,), ([],), ([0.0, 0.0, 1.0],), ([0.0, None, 1.0, 1.0],), ([0.0, 0.0, float("nan"), 1.0],), ([2.0, 0.0, 1.0, 1.0],), ([0.0, 0.0, 0.0, 0.0],)]
     got = [(r.v, r.s is not None) for r in spark.createDataFrame(rows, "b array<double>").select(G.verdict(F.col("b")).alias("v"), G.strict(F.col("b")).alias("s")).collect()]
     assert got == [("missing", False), ("size", False), ("size", False), ("not_finite", False), ("not_finite", False), ("unordered", False), ("ok", True)]
+
+
+def test_union_of_an_array_against_the_rows(spark):
+    r = random.Random(3)
+    groups = [(k, [(float(x), float(y), float(x + r.randint(0, 9)), float(y + r.randint(0, 9))) for x, y in [(r.randint(0, 12), r.randint(0, 12)) for _ in range(k)]]) for k in range(9)]
+    df = spark.createDataFrame(groups, "k int, b array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    rows = {x.k: x.area for x in S.union_area(df.select("k", F.explode("b").alias("v")).select("k", "v.*"), ["k"]).collect()}
+    assert {x.k: x.area for x in df.select("k", S.union_of(F.col("b")).alias("area")).collect()} == {k: rows.get(k, 0.0) for k, _ in groups}
+
+
+def test_region_matches_broadcasts_no_tiles(spark, tmp_path):
+    """A small file holds many boxes, and a box many tiles; by its size Spark would send all of them to the driver."""
+    d = str(tmp_path)
+    box = lambda x: [x, 0.0, x + 2000.0, 2000.0]
+    pages = [(i, [(0, [box(0.0), box(3000.0)], [box(0.0)])]) for i in range(200)]
+    schema = "study_id bigint, pages array<struct<page_index: int, region_bboxes: array<array<double>>, table_bboxes: array<array<double>>>>"
+    spark.createDataFrame(pages, schema).selectExpr("study_id", "string(study_id) document_id", "pages").write.parquet(f"{d}/case_studies.parquet")
+    df = plans.region_matches(spark, d)
+    assert {(x.verdict, x.region, x.shared) for x in df.collect()} == {("EXACT_MATCH", 0, False)}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
