@@ -205,9 +205,11 @@ def paced(df: DataFrame, host: str, ready: str, tie: str, delay: int) -> DataFra
 
     The start of the k-th request is the latest of all ready times before it plus
     the delays since, so a running maximum of ready - k * delay gives it at once.
+    k is a long, as k delays of a busy host don't fit an int; requests without a
+    ready time come last.
     """
-    order = Window.partitionBy(host).orderBy(ready, tie)
-    k = F.row_number().over(order) - 1
+    order = Window.partitionBy(host).orderBy(F.col(ready).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    k = F.row_number().over(order).cast("long") - 1
     df = df.withColumn("_k", k)
     latest = F.max(F.col(ready) - F.col("_k") * delay).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("start", latest + F.col("_k") * delay).drop("_k")

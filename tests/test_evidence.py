@@ -68,6 +68,17 @@ def test_pacing_against_the_plain_loop(spark):
         assert got[i] == start
 
 
+def test_pacing_of_a_busy_host_exceeds_an_int(spark):
+    df = spark.range(3000).select("id", F.lit("a").alias("host"), F.lit(5).cast("long").alias("ready"))
+    got = {x.id: x.start for x in metrics.paced(df, "host", "ready", "id", 1_000_000).collect()}
+    assert got == {i: 5 + i * 1_000_000 for i in range(3000)}
+
+
+def test_pacing_without_a_ready_time_comes_last(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 100), (3, "a", 101)], "id int, host string, ready long")
+    assert {x.id: x.start for x in metrics.paced(df, "host", "ready", "id", 7).collect()} == {2: 100, 3: 107, 1: 114}
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("/r/x/doc.pdf_3.png",), ("/r/page-01234567-89ab-cdef-0123-456789abcdef.png",), ("/q/plain.png",), (None,)], "p string")
     got = [tuple(x) for x in df.select(T.source_group(F.col("p")), T.portable_path(F.col("p"), "/r")).collect()]
